@@ -70,6 +70,8 @@ Row {d} holds {id_number}; remove it.
 console.log: applicant {id_number} ok
 Le dossier contient {id_number} en clair.
 Meet {name} and {name} at {address}.
+{w}. {name} lives at {address}. The {w} is quiet.
+Contact: {name} <{email}> the {w} is {v2}
 {name} ({email}) and {name} ({phone}) are out.
 the {w} was changed by {name} yesterday, not by {name}
 Please send it to {name}, {address}.
@@ -229,17 +231,23 @@ def _email(r, roster) -> str:
     return f"{user}@{host}"
 
 
+def _turn(r: random.Random, forms: list[str]) -> str:
+    """Forms by turns, so that every sentence meets nearly every form."""
+    r.turn = getattr(r, "turn", 0) + 1
+    return forms[r.turn % len(forms)]
+
+
 def _phone(r) -> str:
     d = lambda n: _d(r, n)
-    return r.choice([
+    return _turn(r, [
         f"+{r.choice(['49', '33', '34', '44'])} {d(2)} {d(5)} {d(3)}", f"+44 20 {d(4)} {d(4)}", f"+1 {d(3)} 555 {d(4)}", f"+1-{d(3)}-555-{d(4)} ext. {d(3)}", f"({d(3)}) 555-{d(4)}",
-        f"{d(3)}.555.{d(4)}", f"0{d(4)} {d(6)}", f"01{d(3)} {d(6)}", f"01{d(3)} {d(6)}", f"0{d(4)} {d(6)}", f"0{d(2)}/{d(8)}", f"+1{d(3)}555 {d(4)}", f"00 49 {d(2)} {d(5)}-{d(3)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}-555-{d(4)}",
+        f"{d(3)}.555.{d(4)}", f"0{d(4)} {d(6)}", f"01{d(3)} {d(6)}", f"01{d(3)} {d(6)}", f"0{d(4)} {d(6)}", f"0{d(2)}/{d(8)}", f"0{d(2)}/{d(8)}", f"0{d(2)}/{d(7)}", f"+1{d(3)}555 {d(4)}", f"00 49 {d(2)} {d(5)}-{d(3)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}-555-{d(4)}",
     ])
 
 
 def _id(r) -> str:
     d = lambda n: _d(r, n)
-    return r.choice([
+    return _turn(r, [
         f"SSN {d(3)}-{d(2)}-{d(4)}", f"social security number {d(3)} {d(2)} {d(4)}", f"passport no. {r.choice('CXLP')}{d(8)}", f"Ausweis-Nr. L{d(2)}X{d(4)}T{d(1)}", f"DNI {d(2)}.{d(3)}.{d(3)}-{r.choice('QRTW')}",
         f"national ID QQ {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"tax number {d(2)}/{d(3)}/{d(4)}", f"passport {r.choice('CXLP')}{d(8)}", f"SSN {d(9)}", f"tax ID {d(2)} {d(3)} {d(3)} {d(3)}", f"Steuernummer {d(2)}/{d(3)}/{d(5)}", f"NIE X-{d(7)}-{r.choice('QRTW')}",
     ])
@@ -285,7 +293,7 @@ def _row(template: str, r: random.Random, roster) -> list[tuple[str, str | None]
     return [(t, k) for t, k in out if t]
 
 
-def labelled_table(roster: list[tuple[str, str]], seed: int = 5, with_mention: int = 10, without: int = 4) -> list[list[tuple[str, str | None]]]:
+def labelled_table(roster: list[tuple[str, str]], seed: int = 5, with_mention: int = 19, without: int = 4) -> list[list[tuple[str, str | None]]]:
     """The table: each sentence several times, some beside another sentence, as mentions occur in running text."""
     r = random.Random(seed)
     plain = [s for s in SENTENCES if not any("{" + k + "}" in s for k in KINDS)]
