@@ -49,8 +49,9 @@ def running_total(df: DataFrame, key: str, order: str, value: str, out: str) ->
         edge = np.unique([0, len(first) - 1])
         size = np.diff(np.r_[before[first], total[-1]])[edge]
         cols = [pa.nulls(len(edge), f.type) for f in t.schema]
+        cols[order_at], cols[value_at] = (pa.array(np.zeros(len(edge)), pa.float64()).cast(t.schema.types[j]) for j in (order_at, value_at))
         cols[key_at] = t.column(key_at).combine_chunks().take(pa.array(first[edge]))
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(size), pa.array(np.ones(len(edge), np.int32)), pa.array(at[edge])], names=rows.schema.names)
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(size), pa.array(np.ones(len(edge), np.int32)), pa.array(at[edge])], schema=rows.schema)
 
     done = cut_lineage(df.repartitionByRange(key, order).sortWithinPartitions(key, order).mapInArrow(scan, schema))
     earlier = Window.partitionBy(key).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
