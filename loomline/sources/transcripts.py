@@ -23,7 +23,7 @@ def files(spark: SparkSession, path: str, exclude: str | None = None) -> DataFra
     if exclude:
         raw = raw.where(~F.lower("path").contains(exclude.lower()))
     digest = F.sha2("content", 256)
-    return raw.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.decode("content", F.lit("UTF-8")).alias("content"), digest.alias("content_hash"), F.concat(F.lit("file:"), F.substring(digest, 1, 16)).alias("session_id"))
+    return raw.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.decode("content", "UTF-8").alias("content"), digest.alias("content_hash"), F.concat(F.lit("file:"), F.substring(digest, 1, 16)).alias("session_id"))
 
 
 def unseen(found: DataFrame, sessions: DataFrame) -> DataFrame:

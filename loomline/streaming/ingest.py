@@ -19,7 +19,7 @@ def stream(spark: SparkSession, inbox: str) -> DataFrame:
     """New files of a folder as rows of `transcripts.files`."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(inbox)
     digest = F.sha2("content", 256)
-    return raw.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.decode("content", F.lit("UTF-8")).alias("content"), digest.alias("content_hash"), F.concat(F.lit("file:"), F.substring(digest, 1, 16)).alias("session_id"))
+    return raw.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.decode("content", "UTF-8").alias("content"), digest.alias("content_hash"), F.concat(F.lit("file:"), F.substring(digest, 1, 16)).alias("session_id"))
 
 
 def take_in(store: TableStore, batch: DataFrame) -> None:
