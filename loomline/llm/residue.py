@@ -27,6 +27,8 @@ from loomline.llm.vectors import batches, stable_hash, tokenize
 
 #: Rows of each kind (that match a weak cue, and any) brought to the driver for fitting.
 SAMPLE_ROWS = 12_000
+#: Rows looked at for one that matches a cue.
+CUE_SHARE = 12
 DIMENSIONS = 1 << 18
 L2 = 2e-6
 THRESHOLD = 0.5
@@ -179,10 +181,13 @@ def fit(texts, titles, labels, rounds: int = 150, l2: float = L2) -> tuple[np.nd
 
 def train(turns: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most 2 * `sample_rows` rows and the seeds."""
-    # only ids, hosts, texts and titles, by the hash of the id: the same rows whatever the partitioning
+    # rows by the hash of the id, so the same ones whatever the partitioning; a bound on the hash, from the number of
+    # rows, keeps all others from the patterns and from the driver: each task sends its share of a few samples
+    n = max(turns.count(), 1)
     cols = turns.where("turn_id IS NOT NULL").select(F.xxhash64("turn_id", F.lit(11)).alias("h"), F.coalesce("session_id", F.lit("")).alias("host"), "text", "tool_name")
+    part = lambda times: cols.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, times * sample_rows / n) * (1 << 30)))
     cue = F.coalesce(F.col("text").rlike(_CUE), F.lit(False)) | F.coalesce(F.col("tool_name").rlike(r"[^\w]|[A-Z]"), F.lit(False))
-    rows = [r for part in (cols.where(cue), cols.where(~cue)) for r in part.orderBy("h", "text", "tool_name").limit(sample_rows).toPandas().itertuples(index=False)]
+    rows = [r for some in (part(CUE_SHARE).where(cue), part(1.5).where(~cue)) for r in some.orderBy("h", "text", "tool_name").limit(sample_rows).toPandas().itertuples(index=False)]
     data = [(r.host, r.text, r.tool_name, y) for r in rows if (y := weak_label(r.text, r.tool_name)) is not None]
     seeds = [("", t, None, 1) for t in SEEDS_POSITIVE] + [("", t, None, 0) for t in SEEDS_NEGATIVE]
     held = np.array([stable_hash(h) % 5 == 0 and h != "" for h, *_ in data], bool)
