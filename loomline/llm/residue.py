@@ -129,7 +129,7 @@ def features(texts: list[str | None], titles: list[str | None]) -> tuple[np.ndar
     rows.append(np.arange(n))
     idx.append(lens[bucket])
     names = sorted({t for t in titles if t})
-    code = {t: [stable_hash(f"^title:{x}") for x in {"slot" if _TITLE_SLOT.search(t) else "plain", re.sub(r"\w+", "w", t)}] for t in names}
+    code = {t: [stable_hash(f"^title:{'slot' if _TITLE_SLOT.search(t) else 'plain'}")] for t in names}
     tr = [(i, c) for i, t in enumerate(titles) if t for c in code[t]]
     rows.append(np.array([i for i, _ in tr], np.int64))
     idx.append(np.array([c for _, c in tr], np.uint64))
