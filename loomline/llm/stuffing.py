@@ -135,7 +135,7 @@ def measure(texts: list[str | None], cache: dict | None = None) -> dict[str, np.
     machine = (code > 0.12 * (words + numbers)) | (numbers > words) & (marks < 2)
     listing = marks >= 0.3 * np.maximum(words, 1)
     keywords = ~machine & (words > 0) & ((rep >= 0.5) | (listing & (rep >= 0.25)))
-    phrases = ~machine & (content >= 2) & (topped >= 0.45)
+    phrases = ~machine & (content >= 2) & (topped >= 0.45) & (fw < 0.5)  # sentences of half function words are prose, however alike
     total = np.bincount(of, chars, n)
     for j, t in enumerate(GRID):
         bad = tags_or_links | phrases | (keywords & (fw < t))
