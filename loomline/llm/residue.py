@@ -65,6 +65,7 @@ _OUTPUT = re.compile(r"(?m)^(?:Traceback \(most recent|\$ |exit_code: |FAILED |\
 _SLOT = re.compile("|".join(SLOTS), re.M)
 _NOTICE = re.compile("|".join(NOTICES), re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_VISIBLE = re.compile(r"[^\s\x00-\x1f\x7f-\xa0\u00ad\u200b-\u200f\u2028-\u202f\u2060-\u206f\ufeff]")
 #: Cheap cue by which the JVM finds rows for the half of the sample that may be positive.
 _CUE = r"(?i)[{}<>%]|\[\[|\[[A-Z ]{3,}\]|\[(?:insert|write|enter|your)|__|@@|XX|javascript|scripts|\b[45]\d\d\b|denied|unavailable|expired|went wrong|your browser|available|page|seite|página|too many|time-?out|lorem|ipsum|asdf|dummy|sample|blah|tbd|here|placeholder|sorry|captcha"
 
@@ -153,7 +154,9 @@ class Model:
     def score(self, texts: list[str | None], titles: list[str | None]) -> np.ndarray:
         row, index, value = features(texts, titles)
         z = np.bincount(row, self.weight[index] * value, len(texts)) + self.bias
-        return 1 / (1 + np.exp(-z))
+        # a text that shows nothing is empty, which is no residue by itself
+        shows = np.array([bool(t and _VISIBLE.search(t)) or bool(n and _TITLE_SLOT.search(n)) for t, n in zip(texts, titles)])
+        return np.where(shows, 1 / (1 + np.exp(-z)), 0.0)
 
 
 def fit(texts, titles, labels, rounds: int = 150, l2: float = L2) -> tuple[np.ndarray, float]:

@@ -52,8 +52,8 @@ SHARE = 0.5
 #: Share of a page's content words from which a word counts as one of its top words.
 TOP_WORD_SHARE = 0.1
 _TOKEN = re.compile(r"\x00|\n|(?:https?://|www\.)[^\s\x00)>\]]+|#[^\W\d_]\w*|[^\W\d_]+|\d[\d.,:]*|[^\w\s]|_", re.I)
-_OTHER, _WORD, _NUMBER, _LINK, _TAG, _SEPARATOR, _CODE, _BREAK, _STOP, _OPEN, _CLOSE = range(11)
-_KINDS = {**dict.fromkeys("|»›·•,;~/>→", _SEPARATOR), **dict.fromkeys("=_\\{}<\"'`+*%@&", _CODE), "\n": _BREAK, ".": _STOP, "?": _STOP, "!": _STOP, "[": _OPEN, "]": _CLOSE}
+_OTHER, _WORD, _NUMBER, _LINK, _TAG, _SEPARATOR, _CODE, _BREAK, _STOP, _OPEN, _CLOSE, _RULE = range(12)
+_KINDS = {**dict.fromkeys(",;~/>", _SEPARATOR), **dict.fromkeys("|»›·•→", _RULE), **dict.fromkeys("=_\\{}<\"'`+*%@&", _CODE), "\n": _BREAK, ".": _STOP, "?": _STOP, "!": _STOP, "[": _OPEN, "]": _CLOSE}
 
 
 def _kind(tok: str) -> int:
@@ -129,13 +129,16 @@ def measure(texts: list[str | None], cache: dict | None = None) -> dict[str, np.
     link_chars += count(near_link & (open_ > np.minimum.accumulate(open_)) & (kind != _LINK), size.astype(float))
     tag_chars = count(kind == _TAG, size.astype(float))
     code = count(kind == _CODE)
-    marks = count(kind == _SEPARATOR)
+    rules = count(kind == _RULE)
+    marks = count(kind == _SEPARATOR) + rules
     numbers = count(kind == _NUMBER)
     tags_or_links = (link_chars + tag_chars > 0.5 * chars) & (chars > 0)
     machine = (code > 0.12 * (words + numbers)) | (numbers > words) & (marks < 2)
     listing = marks >= 0.3 * np.maximum(words, 1)
     keywords = ~machine & (words > 0) & ((rep >= 0.5) | (listing & (rep >= 0.25)))
-    phrases = ~machine & (content >= 2) & (topped >= 0.45) & (fw < 0.5)  # sentences of half function words are prose, however alike
+    # columns of a catalogue: the names in them may hold function words
+    phrases = ~machine & (rules > 0) & (rules >= 0.15 * words) & (rep >= 0.5) & (fw < 0.4)
+    phrases |= ~machine & (content >= 2) & (topped >= 0.45) & (fw < 0.5)  # sentences of half function words are prose, however alike
     total = np.bincount(of, chars, n)
     for j, t in enumerate(GRID):
         bad = tags_or_links | phrases | (keywords & (fw < t))

@@ -110,7 +110,7 @@ def test_residue(spark):
     bad = ["404 Not Found", "Dear {{name}}, your run {{id}} is ready.", "Please enable JavaScript to view this page.", "Lorem ipsum dolor sit amet velit.", "TBD TBD TBD", "%s"]
     talk = ["The logger prints %s literally; fix the format string.", "Replace the lorem ipsum in the parser with real lines.", "$ make check\n3 passed in 2s\nexit_code: 0"]
     rows = [(f"c{i}", f"s{i % 40}", t, None) for i, t in enumerate(content + talk * 5)] + [(f"b{i}", f"s{i % 40}", t, None) for i, t in enumerate(bad * 5)]
-    rows += [("tool", "s1", "fine words about the parser", "{{tool_name}}"), ("null", "s1", None, None), ("empty", "s1", "", "terminal"), ("b0", "s0", bad[0], None)]
+    rows += [("tool", "s1", "fine words about the parser", "{{tool_name}}"), ("null", "s1", None, None), ("empty", "s1", "", "terminal"), ("unseen", "s1", "\u200b \u00a0", None), ("b0", "s0", bad[0], None)]
     df = spark.createDataFrame(rows, "turn_id string, session_id string, text string, tool_name string").withColumn("score", F.lit(1))
     model = residue.train(df)
     got = {r.turn_id for r in residue.residue(df, model).collect()}
