@@ -22,8 +22,8 @@ DIRECT_ACTORS = ("user", "system")
 
 OUTCOME_CODES = ("intent_stated", "delivery_result", "rework_cause")
 DELIVERY_VALUES = ("landed", "partial", "rework", "failed", "unknown")
-CAUSE_VALUES = ("user_instruction", "agent", "tool", "environment", "none")
-REAL_CAUSES = ("user_instruction", "agent", "tool", "environment")
+CAUSE_VALUES = ("instruction", "agent", "tool", "environment", "none")
+REAL_CAUSES = ("instruction", "agent", "tool", "environment")
 
 # --- skipping of messages -----------------------------------------------------
 

@@ -293,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
         "run_mean_sd": "SELECT event_type, count(*) AS n_runs, round(avg(s), 6) AS mean, round(coalesce(stddev_samp(s), 0.0), 6) AS sd FROM (SELECT event_type, event_id % 3 AS run, avg(value) AS s FROM events GROUP BY ALL) GROUP BY 1",
         "transport_stats": f"SELECT family, count(*) AS passes, round(count(*) FILTER (status = 'error')::DOUBLE / count(*), 6) AS error_rate, round(count(*) FILTER (event_id % 10 <> 0)::DOUBLE / count(*), 6) AS valid_json_rate FROM ({_LEDGER}) GROUP BY 1",
         "outcome_distribution": "SELECT json_extract_string(facets_json, '$.delivery') AS delivery, count(*) AS n FROM cie_records WHERE codebook_code = 'delivery_result' GROUP BY 1",
-        "rework_causes": f"""WITH r AS (SELECT replace(json_extract_string(facets_json, '$.cause'), 'leon_instruction', 'user_instruction') AS cause FROM cie_records WHERE codebook_code = 'rework_cause'),
+        "rework_causes": f"""WITH r AS (SELECT json_extract_string(facets_json, '$.cause') AS cause FROM cie_records WHERE codebook_code = 'rework_cause'),
           c AS (SELECT x.cause, count(r.cause) AS n FROM (SELECT unnest({_list(C.REAL_CAUSES)}) AS cause) x LEFT JOIN r USING (cause) GROUP BY 1)
           SELECT cause, n, CASE WHEN sum(n) OVER () > 0 THEN round(n::DOUBLE / sum(n) OVER (), 6) ELSE 0.0 END AS share, CASE WHEN sum(n) OVER () > 0 THEN (SELECT cause FROM c ORDER BY n DESC, cause LIMIT 1) ELSE 'none' END AS top_cause FROM c""",
         "bucket_sessions": f"SELECT CASE WHEN n <= 3 THEN 'short' WHEN n <= 20 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS sessions, sum(n)::BIGINT AS turns FROM (SELECT session_id, count(*) AS n FROM ({_T}) GROUP BY 1) GROUP BY 1",

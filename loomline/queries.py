@@ -366,8 +366,8 @@ def transport_stats(spark, root):
 
 def _outcomes(spark: SparkSession, root: str) -> DataFrame:
     r = table(spark, root, "cie_records")
-    cause = F.get_json_object("facets_json", "$.cause")
-    return r.select(F.col("codebook_code").alias("code"), F.get_json_object("facets_json", "$.delivery").alias("delivery"), F.when(cause == "leon_instruction", "user_instruction").otherwise(cause).alias("cause"))
+    get = lambda k: F.get_json_object("facets_json", f"$.{k}")
+    return r.select(F.col("codebook_code").alias("code"), get("delivery").alias("delivery"), get("cause").alias("cause"))
 
 
 def outcome_distribution(spark, root):
