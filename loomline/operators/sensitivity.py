@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +14,20 @@ from pyspark.sql import types as T
 from loomline import constants as C
 
 
+#: Literals of which a match of the pattern must hold one; finding these costs far less than the pattern.
+_HOLDS = {
+    C.SECRET_PATTERNS[0]: ("gho_", "ghp_", "ghs_", "ghu_"), C.SECRET_PATTERNS[1]: ("sk-ant",), C.SECRET_PATTERNS[2]: ("sk-",), C.SECRET_PATTERNS[3]: ("xox",), C.SECRET_PATTERNS[4]: (":", "="),
+    C.CREDENTIAL_NAME: ("API_KEY", "TOKEN", "SECRET", "PASSWORD", "PRIVATE_KEY"), C.EMAIL: ("@",), C.HOME_PATH: ("/home/",), C.PRIVATE_NETWORK: ("10.", "172.", "192.168.", "100."),
+}
+
+
+def _occurs(c: Column, pattern: str) -> Column:
+    hit = c.rlike(pattern)
+    if pattern in _HOLDS:
+        hit = reduce(or_, [c.contains(x) for x in _HOLDS[pattern]]) & hit
+    return F.coalesce(hit, F.lit(False))
+
+
 def quick_level(c: Column) -> Column:
     """Level by presence of patterns alone, in the JVM.
 
@@ -20,7 +36,7 @@ def quick_level(c: Column) -> Column:
     """
     secret, other = F.lit(False), F.lit(False)
     for kind, pattern, _ in C.DETECTORS:
-        hit = F.coalesce(c.rlike(pattern), F.lit(False))
+        hit = _occurs(c, pattern)
         if kind in ("secret", "credential_name"):
             secret = secret | hit
         else:

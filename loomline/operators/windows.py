@@ -16,7 +16,7 @@ FAMILIES = tuple(C.FAMILY_PATTERNS)
 def line_length(text: Column, chars: int = C.TURN_CHARS[0]) -> Column:
     """Characters of a turn's line in a prompt, with its text on one line and clipped. Pass masked text."""
     body = F.length(collapse(F.coalesce(text, F.lit(""))))
-    clipped = F.when(body > chars, chars + 1).otherwise(body)
+    clipped = F.least(body, F.lit(chars + 1))
     tool = F.when(F.coalesce("tool_name", F.lit("")) != "", F.length("tool_name") + 6).otherwise(0)
     return F.length("turn_id") + F.length(F.col("idx").cast("string")) + F.length("actor") + tool + clipped + len("turn_id= idx= actor=: ")
 

@@ -6,6 +6,8 @@ derived from them by arithmetic that Spark and SQL write alike; such inputs are
 scaffolding and say nothing about the data. `recall_quote_strict` and `masked_text`
 have no SQL (an order-dependent fold; offsets of all matches) and are tested against
 plain Python.
+The window queries measure masked text; their SQL measures the raw text, so it differs
+wherever a session holds a masked span. They are tested against plain Python.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from loomline import constants as C
 from loomline.functions import usage
 from loomline.functions.text import brief, cut_at_word, strip
 from loomline.operators import normalize, prompts, register, reports, scan, scoring, sensitivity, signals, validate, windows
-from loomline.session import table
+from loomline.session import cut_lineage, table
 
 LIMIT, OVERLAP = 300, 60
 TERMS = (*C.EXCLUDE_TERMS, "nightly cycle", "basalt-switch")
@@ -45,8 +47,9 @@ def _records(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, root: str) -> DataFrame:
-    t = _turns(spark, root)
-    return t.withColumn("tokens", windows.token_estimate(F.col("text"))).withColumn("flags", windows.family_flags(F.coalesce("text", F.lit(""))))
+    """Turns with masked text, its tokens and the families of the text itself, as in `plans.cycle.prepare`."""
+    t = _turns(spark, root).withColumn("shown", F.coalesce(sensitivity.masked(F.col("text"))["text"], F.lit("")))
+    return t.withColumn("tokens", windows.token_estimate(F.col("shown"))).withColumn("flags", windows.family_flags(F.coalesce("text", F.lit(""))))
 
 
 def _windows(spark: SparkSession, root: str) -> DataFrame:
@@ -124,21 +127,21 @@ def no_signal_windows(spark, root):
 
 
 def planned_prompts(spark, root):
-    w = _windows(spark, root)
+    w = cut_lineage(_windows(spark, root))
     plans = [windows.planned(w, s).groupBy("family").agg(F.count("*").alias("n")).withColumn("strategy", F.lit(s)) for s in ("per_family", "combined")]
     return plans[0].unionByName(plans[1]).select("strategy", "family", "n")
 
 
 def resume_remaining(spark, root):
-    plan = windows.planned(_windows(spark, root))
+    plan = windows.planned(cut_lineage(_windows(spark, root)))
     status = F.element_at(F.array(F.lit("processed"), F.lit("error"), F.lit("no_signal")), (F.conv(F.substring("window_id", 9, 4), 16, 10).cast("int") % 3) + 1)
     return windows.remaining(plan, plan.select("window_id", "family", status.alias("status"))).select("window_id", "family")
 
 
 def prompt_clip_tier(spark, root):
-    t = _turns(spark, root).select("session_id", "idx", "turn_id", "actor", "tool_name", "text")
-    m = windows.members(_windows(spark, root).drop("tokens", "flags"), t)
-    sizes = prompts.tiers(m, chars=(200, 90, 42))
+    t = _flagged(spark, root).withColumn("flags", F.lit(0))  # the families aren't asked for
+    m = windows.members(windows.windows(t, LIMIT, OVERLAP).drop("tokens", "flags"), t.select("session_id", "idx", "turn_id", "actor", "tool_name", "shown"))
+    sizes = prompts.tiers(m, "shown", chars=(200, 90, 42))
     return sizes.select("session_id", "window_index", "n1", "n2", "n3", prompts.clip_tier(F.col("n1"), F.col("n2"), F.lit(400), 300).alias("tier"))
 
 

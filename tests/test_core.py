@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline import constants as C
+from loomline import queries
 from loomline.functions import usage
 from loomline.functions.text import brief, cut_at_word, strip
 from loomline.operators import normalize, prompts, register, reports, scan, scoring, sensitivity, signals, validate, windows
@@ -200,6 +201,36 @@ def test_few_shots():
     assert len(combined) == 3 and combined[-1]["codebook_code"] == "rework_cause"
 
 
+def test_window_queries_measure_masked_text(spark, tmp_path):
+    r, words = random.Random(9), "now the plan was kept and nobody asked again".split()
+    hot = ["mail ann.long.name@mail.example.org", "password=hunter2hunter2hunter2", "see /home/somebody/deep/er/notes.txt", "host 10.20.30.40", ""]
+    rows = [(f"s{s}:{i}", f"s{s}", i, r.choice(["user", "agent"]), " ".join([*r.choices(words, k=r.randint(2, 40)), r.choice(hot)]), r.choice([None, "terminal"])) for s in range(4) for i in range(60)]
+    rows.append(("s4:0", "s4", 0, "user", None, None))
+    spark.createDataFrame(rows, "turn_id string, session_id string, idx int, actor string, text string, tool_name string").write.parquet(f"{tmp_path}/turns.parquet")
+
+    def line(row, n, mask=True):
+        tid, _, idx, actor, text, tool = row
+        t = " ".join((sensitivity.mask_text(text or "")[0] if mask else text or "").split())
+        return f"turn_id={tid} idx={idx} actor={actor}{f' tool={tool}' if tool else ''}: {t[:n] + '…' if len(t) > n else t}"
+
+    def expected(mask):
+        est, wins, tiers = {}, set(), set()
+        for s in {x[1] for x in rows}:
+            own = [x for x in rows if x[1] == s]
+            tok = [max(1, -(-len(line(x, C.TURN_CHARS[0], mask)) // 4)) for x in own]
+            est[s] = (len(own), sum(tok), max(tok))
+            for k, (a, e) in enumerate(windows.greedy(tok, queries.LIMIT, queries.OVERLAP)):
+                wins.add((s, k, own[a][2], own[e - 1][2], sum(tok[a:e])))
+                n = [sum(len(line(x, c, mask)) + 1 for x in own[a:e]) for c in (200, 90, 42)]
+                tiers.add((s, k, *n, next((i for i in (1, 2) if -(-(n[i - 1] + 400) // 4) <= 300), 3)))
+        return est, wins, tiers
+
+    root = str(tmp_path)
+    got = ({r[0]: tuple(r[1:]) for r in queries.token_estimate(spark, root).collect()}, {(r.session_id, r.window_index, r.start_idx, r.end_idx, r.tokens) for r in queries.session_windows(spark, root).collect()}, set(one(queries.prompt_clip_tier(spark, root))))
+    assert got == expected(True)
+    assert all(a != b for a, b in zip(got, expected(False)))
+
+
 # --- validation ------------------------------------------------------------------------------------
 
 GOOD = {"codebook_code": "correction_preference", "unit": "turn", "statement": "s", "source_reliability": "C", "info_credibility": 2, "evidence": [{"turn_id": "s:0", "quote": "use the other file"}], "confidence": 0.8}
