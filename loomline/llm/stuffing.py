@@ -71,6 +71,29 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.divide(part, whole, out=np.zeros(len(whole)), where=whole > 0)
 
 
+def _link_text(code: np.ndarray, vocab: list[str], kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Tokens from `[` up to its `]`, where `(` and an address follow. Brackets pair within a page; one without a partner reaches nothing."""
+    inside = np.zeros(len(code) + 1, np.int64)
+    at = np.flatnonzero((kind == _OPEN) | (kind == _CLOSE))
+    if not len(at):
+        return inside[:-1] > 0
+    # brackets of one page and depth, in order: a `]` closes the one before it, if that is a `[`
+    step = np.where(kind[at] == _OPEN, 1, -1)
+    depth = np.cumsum(step) + (step < 0)
+    order = np.lexsort((at, depth, doc[at]))
+    at, depth, step, of = at[order], depth[order], step[order], doc[at[order]]
+    pair = np.flatnonzero((step[:-1] > 0) & (step[1:] < 0) & (depth[:-1] == depth[1:]) & (of[:-1] == of[1:]))
+    begin, end = at[pair], at[pair + 1]
+    is_ = {p: vocab.index(p) if p in vocab else -1 for p in "(</"}
+    ok = end + 3 < len(code)
+    begin, end = begin[ok], end[ok]
+    first = end + 2 + (code[end + 2] == is_["<"])
+    ok = (code[end + 1] == is_["("]) & ((kind[first] == _LINK) | (code[first] == is_["/"])) & (doc[first] == doc[end])
+    inside[begin[ok]] += 1
+    inside[end[ok]] -= 1
+    return np.cumsum(inside)[:-1] > 0
+
+
 def measure(texts: list[str | None], cache: dict | None = None) -> dict[str, np.ndarray]:
     """Measures of a batch: `share` (text, grid), `hist` (text, bin) of function-word shares of segments, `lang`, `dup`."""
     cache = {} if cache is None else cache
@@ -124,9 +147,7 @@ def measure(texts: list[str | None], cache: dict | None = None) -> dict[str, np.
     topped = _share(np.bincount(seg[at[hot]], minlength=k), content)
     link_chars = count(kind == _LINK, size.astype(float))
     # the words of [text](address) are link text
-    open_ = np.cumsum(kind == _OPEN) - np.cumsum(kind == _CLOSE)
-    near_link = count(kind == _LINK)[seg] > 0
-    link_chars += count(near_link & (open_ > np.minimum.accumulate(open_)) & (kind != _LINK), size.astype(float))
+    link_chars += count(_link_text(tb.code, tb.vocab, kind, doc) & (kind != _LINK), size.astype(float))
     tag_chars = count(kind == _TAG, size.astype(float))
     code = count(kind == _CODE)
     rules = count(kind == _RULE)

@@ -310,3 +310,15 @@ def test_stuffed_pages(spark):
     df = spark.createDataFrame([(k, v, "zz") for k, v in {**good, **bad}.items()] + [(None, "x", "zz"), (200, bad[101], "zz")], "doc_id long, text string, share string")
     assert {x.doc_id for x in stuffing.stuffed(df).collect()} == {*bad, 200}
     assert stuffing.stuffed(df.limit(0)).count() == 0
+
+
+def test_brackets_of_one_page_leave_the_others_alone():
+    cited = "The table was moved because the reader asked for it (https://a.example/x). " * 6
+    linked = "- [red lamp]. [blue lamp](https://a.example/y)\n- [green lamp [old]](<https://a.example/z> \"a lamp\")\n" * 6
+    alone = [stuffing.measure([t])["share"] for t in (cited, linked)]
+    assert not alone[0].any() and (alone[1] > 0.5).all()
+    for before in ("A list [that is never closed.", "A list that ] ends ] twice.", "[[[", None):
+        got = stuffing.measure([before, cited, linked])["share"][1:]
+        assert (got == np.vstack(alone)).all()
+    open_first = stuffing.measure(["Notes [as of today: " + cited, "[1] " + cited])["share"]
+    assert not open_first.any()
