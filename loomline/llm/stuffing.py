@@ -5,8 +5,9 @@ of sentences): share of function words, shares of the page's most repeated words
 word pairs, duplicate segments, link-text ratio, density of separators, share of
 tags. A segment is *stuffing* if it is mostly links or mostly tags, or if nearly half of its content words are top words of the
 page (keyword phrases), or if function words are missing and it either repeats the
-page's words or is a list between separators; machine output is none of these. A page is a case if more than half of its
-characters lie in stuffing, or in short segments that are repeated over and over.
+page's words or is a list between separators, or if it is repeated whole and has fewer function words than sentences have;
+machine output is none of these. Repeated means used three times, whatever the page's length. A page is a case if more than half of its
+characters lie in stuffing, or in short segments that dominate it.
 
 The threshold on function words is calibrated per language on all pages: half of
 the lower decile of the share in segments that have any. The language is taken from the
@@ -49,6 +50,8 @@ _BINS = 32
 #: Used for a language with fewer segments than this.
 LEAST_SEGMENTS, DEFAULT_THRESHOLD = 200, 0.1
 SHARE = 0.5
+#: Uses in a page from which a word or a segment counts as repeated, whatever the page's length.
+OFTEN = 3
 #: Share of a page's content words from which a word counts as one of its top words.
 TOP_WORD_SHARE = 0.1
 _TOKEN = re.compile(r"\x00|\n|(?:https?://|www\.)[^\s\x00)>\]]+|#[^\W\d_]\w*|[^\W\d_]+|\d[\d.,:]*|[^\w\s]|_", re.I)
@@ -136,9 +139,7 @@ def measure(texts: list[str | None], cache: dict | None = None) -> dict[str, np.
     # repetition: words, and pairs of neighbouring words, by their number in the page
     at = np.flatnonzero(is_word & (mine == 0))
     _, inv, times = np.unique((doc[at] << 47) ^ word[at], return_inverse=True, return_counts=True)
-    n_words = np.bincount(doc[is_word], minlength=n)
-    need = np.maximum(3, 0.008 * n_words)
-    many = times[inv] >= need[doc[at]]
+    many = times[inv] >= OFTEN
     repeated = np.bincount(seg[at[many]], minlength=k)
     content = np.bincount(seg[at], minlength=k)
     rep = _share(repeated, content)
@@ -160,24 +161,27 @@ def measure(texts: list[str | None], cache: dict | None = None) -> dict[str, np.
     # columns of a catalogue: the names in them may hold function words
     phrases = ~machine & (rules > 0) & (rules >= 0.15 * words) & (rep >= 0.5) & (fw < 0.4)
     phrases |= ~machine & (content >= 2) & (topped >= 0.45) & (fw < 0.5)  # sentences of half function words are prose, however alike
-    total = np.bincount(of, chars, n)
-    for j, t in enumerate(GRID):
-        bad = tags_or_links | phrases | (keywords & (fw < t))
-        out["share"][:, j] = _share(np.bincount(of, chars * bad, n), total)
-    full = words >= 6
-    b = np.minimum((fw[full] * 50).astype(np.int64), _BINS - 1)
-    out["hist"] = np.bincount(of[full] * _BINS + b, minlength=n * _BINS).reshape(n, _BINS).astype(np.int32)
     # duplicate segments: the same words in the same order
     pos = np.arange(m) - np.searchsorted(seg, np.arange(k))[seg]
     mixed = ((word.astype(np.uint64) + np.uint64(1)) * (np.uint64(2) * pos.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
     sums = np.zeros(k, np.uint64)
-    keep = is_word
-    np.add.at(sums, seg[keep], mixed[keep])
-    has = np.flatnonzero((words >= 2) & (words <= 12) & ~machine)
+    np.add.at(sums, seg[is_word], mixed[is_word])
+    has = np.flatnonzero((words >= 2) & ~machine)
+    alike = np.zeros(k, np.int64)
     if len(has):
         _, inv, times = np.unique((of[has].astype(np.uint64) << np.uint64(44)) ^ (sums[has] & np.uint64((1 << 44) - 1)), return_inverse=True, return_counts=True)
-        often = times[inv] >= np.maximum(5, 0.15 * np.bincount(of, minlength=n))[of[has]]
-        out["dup"] = _share(np.bincount(of[has[often]], chars[has[often]], n), total).astype(np.float32)
+        alike[has] = times[inv]
+    total = np.bincount(of, chars, n)
+    for j, t in enumerate(GRID):
+        # a repeated segment may hold some function words, but fewer than nine in ten sentences do
+        bad = tags_or_links | phrases | (keywords & (fw < t)) | ((alike >= OFTEN) & (fw < 2 * t))
+        out["share"][:, j] = _share(np.bincount(of, chars * bad, n), total)
+    full = words >= 6
+    b = np.minimum((fw[full] * 50).astype(np.int64), _BINS - 1)
+    out["hist"] = np.bincount(of[full] * _BINS + b, minlength=n * _BINS).reshape(n, _BINS).astype(np.int32)
+    # short segments that dominate the page, whatever their words
+    lead = (words <= 12) & (alike >= np.maximum(5, 0.15 * np.bincount(of, minlength=n))[of])
+    out["dup"] = _share(np.bincount(of[lead], chars[lead], n), total).astype(np.float32)
     return out
 
 

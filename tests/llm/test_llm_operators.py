@@ -322,3 +322,24 @@ def test_brackets_of_one_page_leave_the_others_alone():
         assert (got == np.vstack(alone)).all()
     open_first = stuffing.measure(["Notes [as of today: " + cited, "[1] " + cited])["share"]
     assert not open_first.any()
+
+
+def test_repetition_counts_on_pages_of_any_length(spark):
+    r = random.Random(8)
+    words = ["".join(r.choices("bcdfgklmnprst", k=3)) + "".join(r.choices("aeiou", k=2)) + r.choice("lnrst") + f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    even = lambda n, times: r.sample(words[:n] * times, n * times)
+    rows = lambda ws, sep, k: "\n".join(sep.join(ws[i : i + k]) for i in range(0, len(ws), k))
+    short, long = ([" ".join(words[i : i + k]) for i in range(0, 12 * k, k)] for k in (6, 16))
+    offers = [f"{a} {b} {c} for {d} {e} {f}" for a, b, c, d, e, f in zip(*[iter(words[:60])] * 6)]
+    bad = {
+        1: rows(even(130, 3), " ", 10), 2: rows(even(200, 20), " ", 10), 3: rows(even(600, 6), " ", 12), 4: rows(even(300, 8), " | ", 6),
+        5: ".\n".join(short * 4), 6: ".\n".join(long * 3), 7: ".\n".join(offers * 30),
+    }
+    said = ["The {0} was moved after the {1} had shown {2} rows that nobody could explain.", "Nobody has asked for the {0}, so it is left as it was in the {1}.", "There is a {0} in every {1} that we have seen and it should be kept."]
+    tell = lambda n: [r.choice(said).format(r.choice(words[:9]), r.choice(words[:9]), r.randint(2, 99)) for _ in range(n)]
+    good = {
+        101: " ".join(tell(300)), 102: "- " + "\n- ".join(tell(200)), 103: " ".join(tell(3) * 4 + tell(400)), 104: "\n".join(words),
+        105: "\n".join(f"2026-01-02 10:00:{r.randint(10, 59)} INFO src/{r.choice(words[:9])}.py rows={r.randint(1, 999)}" for _ in range(400)),
+    }
+    df = spark.createDataFrame([*bad.items(), *good.items()], "doc_id long, text string")
+    assert {x.doc_id for x in stuffing.stuffed(df).collect()} == set(bad)
