@@ -134,8 +134,8 @@ def keyed(df: DataFrame, source: Column, row_id: str, text: str, *carry: str) ->
     """(src, rid, plain, root, canon, carry...) of every row with a text.
 
     `plain` is the digest of the folded text, `root` the Merkle root: that of
-    the record, or `plain` itself for plain text. Only the canonical form of a
-    record is kept; that of plain text is its folded text, which `plain` hashes.
+    the record, or `plain` itself for plain text. `canon` is the canonical form
+    itself: that of the record, or the folded text of plain text.
     """
     t = F.col(text)
     base = df.select(source.alias("src"), F.col(row_id).alias("rid"), t.alias("_t"), *carry).where(F.col("_t").isNotNull() & F.col("rid").isNotNull())
@@ -144,7 +144,7 @@ def keyed(df: DataFrame, source: Column, row_id: str, text: str, *carry: str) ->
     return base.select(
         "src", "rid", F.substring(F.sha2(folded, 256), 1, 32).alias("plain"),
         F.coalesce(F.col("_r.digest"), F.substring(F.sha2(folded, 256), 1, 32)).alias("root"),
-        F.coalesce(F.sha2(F.col("_r.canon"), 256), F.sha2(folded, 256)).alias("canon"),
+        F.coalesce(F.col("_r.canon"), folded).alias("canon"),
         *carry,
     )
 
@@ -152,13 +152,15 @@ def keyed(df: DataFrame, source: Column, row_id: str, text: str, *carry: str) ->
 def grouped(keys: DataFrame) -> DataFrame:
     """`keys` with the column `grp`, the name of the group in its source.
 
-    Two keys tie texts together: equal roots, and equal folded texts (a record
-    and the same words without its punctuation). Where one folded text has
+    Two keys tie texts together: equal roots with equal canonical forms (the
+    whole form is part of the key, so a collision of digests joins nothing and
+    the start of the root is enough), and equal folded texts (a record and the
+    same words without its punctuation). Where one folded text has
     several roots, their groups are joined: the smallest root reaches all of a
     component by repeated minima over both keys. Only folded texts with several
     roots take part, so the loop ends at once on data without such ties.
     """
-    keys = cut_lineage(keys.withColumn("root", F.concat("root", F.lit("-"), F.substring("canon", 1, 16))).drop("canon"))
+    keys = cut_lineage(keys.withColumn("root", F.concat(F.substring("root", 1, 8), F.lit("-"), "canon")).drop("canon"))
     ties = (
         keys.groupBy("src", "plain").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         .select("src", "plain")

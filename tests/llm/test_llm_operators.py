@@ -343,3 +343,9 @@ def test_repetition_counts_on_pages_of_any_length(spark):
     }
     df = spark.createDataFrame([*bad.items(), *good.items()], "doc_id long, text string")
     assert {x.doc_id for x in stuffing.stuffed(df).collect()} == set(bad)
+
+
+def test_groups_compare_canonical_forms(spark):
+    keys = [("x", "a", "p1", "r", "0123456789abcdef one"), ("x", "b", "p2", "r", "0123456789abcdef two"), ("x", "c", "p3", "r", "0123456789abcdef one")]
+    got = formatting_dups.grouped(spark.createDataFrame(keys, "src string, rid string, plain string, root string, canon string"))
+    assert [tuple(r) for r in formatting_dups.copies(got).collect()] == [("x", "a", "c")]
