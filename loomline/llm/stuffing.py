@@ -10,7 +10,8 @@ machine output is none of these. Repeated means used three times, whatever the p
 characters lie in stuffing, or in short segments that dominate it.
 
 The threshold on function words is calibrated per language on all pages: half of
-the lower decile of the share in segments that have any. The language is taken from the
+the lower decile of the share in segments that have any, drawn to a default that weighs
+as much as `PRIOR_SEGMENTS` segments. The language is taken from the
 words of the page, as the stated one may be wrong. Texts are tokenised once: a page
 keeps its share for each value of a grid of thresholds, and the calibrated value is
 looked up afterwards.
@@ -47,8 +48,8 @@ for _i, _l in enumerate(LANGUAGES):
 #: Candidate thresholds on the share of function words.
 GRID = tuple(round(0.02 * k, 2) for k in range(1, 13))
 _BINS = 32
-#: Used for a language with fewer segments than this.
-LEAST_SEGMENTS, DEFAULT_THRESHOLD = 200, 0.1
+#: Threshold before any segment is seen, and the segments it weighs as much as.
+DEFAULT_THRESHOLD, PRIOR_SEGMENTS = 0.1, 200
 SHARE = 0.5
 #: Uses in a page from which a word or a segment counts as repeated, whatever the page's length.
 OFTEN = 3
@@ -207,10 +208,9 @@ def calibrate(pages: DataFrame) -> dict[int, int]:
     for r in sums:
         h = np.array([r[f"h{i}"] or 0 for i in range(_BINS)], float)
         h[0] = 0  # segments without any function word aren't sentences
-        if h.sum() < LEAST_SEGMENTS:
-            t = DEFAULT_THRESHOLD
-        else:
-            t = (np.searchsorted(np.cumsum(h), 0.1 * h.sum()) * 0.02) / 2
+        n = h.sum()
+        seen = (np.searchsorted(np.cumsum(h), 0.1 * n) * 0.02) / 2
+        t = (PRIOR_SEGMENTS * DEFAULT_THRESHOLD + n * seen) / (PRIOR_SEGMENTS + n)
         out[r["lang"]] = int(np.argmin([abs(g - t) for g in GRID]))
     return out
 

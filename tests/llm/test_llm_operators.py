@@ -349,3 +349,11 @@ def test_groups_compare_canonical_forms(spark):
     keys = [("x", "a", "p1", "r", "0123456789abcdef one"), ("x", "b", "p2", "r", "0123456789abcdef two"), ("x", "c", "p3", "r", "0123456789abcdef one")]
     got = formatting_dups.grouped(spark.createDataFrame(keys, "src string, rid string, plain string, root string, canon string"))
     assert [tuple(r) for r in formatting_dups.copies(got).collect()] == [("x", "a", "c")]
+
+
+def test_threshold_moves_gradually_with_the_number_of_segments(spark):
+    hist = lambda n: [n if i == 20 else 0 for i in range(32)]
+    at = [stuffing.calibrate(spark.createDataFrame([(0, hist(n))], "lang int, hist array<int>"))[0] for n in (0, 50, 100, 199, 200, 400, 100_000)]
+    grid = [stuffing.GRID[i] for i in at]
+    assert grid[0] == stuffing.DEFAULT_THRESHOLD and grid[-1] == 0.2 and grid == sorted(grid)
+    assert grid[2] > grid[0] and grid[3] == grid[4] < grid[-1]
