@@ -27,13 +27,15 @@ REAL_CAUSES = ("instruction", "agent", "tool", "environment")
 
 # --- skipping of messages -----------------------------------------------------
 
-SKIP_CONTAINS = (
-    "[context compaction", "context compaction — reference only", "[important: background process", "[important: the user has invoked", "<available_skills>", "conversation-archive-mining/skill.md",
-)
-SKIP_PREFIXES = ("[important:", "[your active task list was preserved across context compression]")
+SKIP_COMPACTION = ("[context compaction", "context compaction — reference only")
+SKIP_IMPORTANT_PREFIX = "[important:"
+SKIP_IMPORTANT = ("[important: background process", "[important: the user has invoked")
+SKIP_TASK_LIST_PREFIX = "[your active task list was preserved across context compression]"
+SKIP_SKILL_DUMP = ("<available_skills>", "conversation-archive-mining/skill.md")
 SKIP_TOOLS = ("skill_view", "skills_list")
 KEPT_TOOLS = ("terminal", "process", "browser_console")
-EXCLUDE_TERMS = ("conversation miner", "conversation mining", "conversation-mining", "local conversation mining")
+#: Two further terms are names of a project; they hold "pattern miner" or "pattern-miner", so nothing is lost without them.
+EXCLUDE_TERMS = ("pattern miner", "pattern-miner", "conversation miner", "conversation mining", "conversation-mining", "pilot-00", "local conversation mining")
 
 # --- sensitivity ----------------------------------------------------------------
 

@@ -44,10 +44,10 @@ def skip_rules(role: Column, tool: Column, text: Column) -> dict[str, Column]:
     return {
         "blank": (strip(low) == "") & (name == ""),
         "system": who == "system",
-        "compaction": contains_any(low, C.SKIP_CONTAINS[:2]),
-        "important": low.startswith(C.SKIP_PREFIXES[0]) | contains_any(low, C.SKIP_CONTAINS[2:4]),
-        "task_list": low.startswith(C.SKIP_PREFIXES[1]),
-        "skill_dump": contains_any(low, C.SKIP_CONTAINS[4:]),
+        "compaction": contains_any(low, C.SKIP_COMPACTION),
+        "important": low.startswith(C.SKIP_IMPORTANT_PREFIX) | contains_any(low, C.SKIP_IMPORTANT),
+        "task_list": low.startswith(C.SKIP_TASK_LIST_PREFIX),
+        "skill_dump": contains_any(low, C.SKIP_SKILL_DUMP),
         "skill_tool": name.isin(*C.SKIP_TOOLS),
         "other_tool": (who == "tool") & ~name.isin(*C.KEPT_TOOLS),
         "tool_definitions": low.contains("tool definitions") & low.contains("namespace"),
@@ -76,12 +76,22 @@ def turns(messages: DataFrame, prefix: str = "") -> DataFrame:
     )
 
 
+def positioned(messages: DataFrame, order: str = "id") -> DataFrame:
+    """Messages, each once by (session_id, `order`), with `idx`, their position in the session by `order`.
+
+    Only ids are numbered; the texts meet their number in one join, on which the re-delivered rows are dropped too.
+    """
+    once = messages.dropDuplicates(["session_id", order])
+    ids = messages.select("session_id", order).distinct().withColumn("_one", F.lit(1))
+    return once.join(running_total(ids, "session_id", order, "_one", "idx"), ["session_id", order])
+
+
 def with_offsets(kept: DataFrame) -> DataFrame:
     """Turns with their character offsets: each begins one past the end of the one before."""
-    sized = kept.withColumn("_n", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long"))
-    done = running_total(sized.withColumn("idx", F.col("idx").cast("long")), "session_id", "idx", "_n", "_at")
-    end = F.col("_at") + F.col("_n") - 1
-    return done.select(*[F.col(c).cast("int") if c == "idx" else F.col(c) for c in kept.columns], F.col("_at").cast("long").alias("char_start"), end.cast("long").alias("char_end"))
+    size = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    sized = kept.select("session_id", "idx", (size + 1).alias("_n"))
+    done = running_total(sized, "session_id", "idx", "_n", "char_start").withColumn("idx", F.col("idx").cast("int"))
+    return kept.withColumn("_n", size).join(done, ["session_id", "idx"]).withColumn("char_end", F.col("char_start") + F.col("_n")).select(*kept.columns, "char_start", "char_end")
 
 
 def excluded_sessions(sessions: DataFrame, messages: DataFrame, terms=C.EXCLUDE_TERMS) -> DataFrame:
@@ -126,4 +136,4 @@ def replace_sessions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(fresh.select("session_id").distinct(), "session_id", "left_anti").unionByName(fresh)
 
 
-__all__ = ["actor", "changed_sessions", "content_hashes", "excluded_sessions", "first_field", "message_text", "newest_sessions", "replace_sessions", "skip_rules", "skipped", "starts_with_any", "turns", "with_offsets"]
+__all__ = ["actor", "changed_sessions", "content_hashes", "excluded_sessions", "first_field", "message_text", "newest_sessions", "positioned", "replace_sessions", "skip_rules", "skipped", "starts_with_any", "turns", "with_offsets"]

@@ -1,12 +1,15 @@
 """Sorted scans that split hot keys.
 
 A key may hold a third of all rows. Rows are range-partitioned by (key, order), so a
-hot key spans several tasks; what a task must know of earlier ones comes from one
-summary for each key at the edge of a partition, at most two rows a partition.
+hot key spans several tasks; a task streams over its sorted Arrow batches and keeps no
+more than a batch and a few numbers. What it must know of earlier tasks comes from one
+summary of the last key of a partition, one row each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from loomline.session import cut_lineage
 
 
-def runs(key: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def runs(key: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Run number of each row of a sorted column without nulls, and first row of each run."""
     if len(key) < 2:
         return np.zeros(len(key), np.int64), np.arange(len(key))
@@ -24,37 +27,45 @@ def runs(key: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
+def sorted_batches(it: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool]]:
+    """(batch, run of each row, first row of each run, whether the first run goes on from the batch before)."""
+    last = None
+    for b in it:
+        if b.num_rows:
+            run, first = runs(b.column(key))
+            yield b, run, first, last is not None and b.column(key)[0].as_py() == last
+            last = b.column(key)[b.num_rows - 1].as_py()
+
+
+_SCANNED = ["k", "o", "t", "s", "e"]
+
+
 def running_total(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
-    """`df` with `out`, the sum of the integer column `value` over the earlier rows of the same key.
+    """(key, order, out): the sum of the integer column `value` over the earlier rows of the same key.
 
-    Keys are strings without nulls, (key, order) is unique and `order` an integer. An empty table stays empty.
+    Only these three columns move; join the rest back by (key, order). Keys are strings
+    without nulls, (key, order) is unique and `order` an integer. An empty table stays empty.
     """
-    names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` long, _edge int, _first long"
-    value_at, key_at, order_at = names.index(value), names.index(key), names.index(order)
+    src = df.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.col(value).cast("long").alias("v"))
 
     def scan(it):
-        got = [b for b in it if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        run, first = runs(t.column(key_at))
-        v = t.column(value_at).to_numpy().astype(np.int64)
-        total = np.cumsum(v)
-        before = total - v
-        local = before - before[first][run]
-        at = t.column(order_at).to_numpy().astype(np.int64)[first]
-        rows = t.append_column(out, pa.array(local)).append_column("_edge", pa.array(np.zeros(len(v), np.int32))).append_column("_first", pa.array(at[run]))
-        yield from rows.to_batches(max_chunksize=16384)
-        edge = np.unique([0, len(first) - 1])
-        size = np.diff(np.r_[before[first], total[-1]])[edge]
-        cols = [pa.nulls(len(edge), f.type) for f in t.schema]
-        cols[order_at], cols[value_at] = (pa.array(np.zeros(len(edge)), pa.float64()).cast(t.schema.types[j]) for j in (order_at, value_at))
-        cols[key_at] = t.column(key_at).combine_chunks().take(pa.array(first[edge]))
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(size), pa.array(np.ones(len(edge), np.int32)), pa.array(at[edge])], schema=rows.schema)
-
-    done = cut_lineage(df.repartitionByRange(key, order).sortWithinPartitions(key, order).mapInArrow(scan, schema))
-    earlier = Window.partitionBy(key).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    carry = done.where("_edge = 1").select(key, "_first", F.sum(out).over(earlier).alias("_carry")).where("_carry IS NOT NULL")
-    rows = done.where("_edge = 0").join(F.broadcast(carry), [key, "_first"], "left")
-    return rows.select(*names, (F.col(out) + F.coalesce("_carry", F.lit(0))).cast("long").alias(out))
+        carry = head = 0  # total and first order value of the last key so far
+        last = None
+        for b, run, first, goes_on in sorted_batches(it, 0):
+            o, v = b.column(1).to_numpy(), b.column(2).to_numpy()
+            total = np.cumsum(v)
+            before = total - v
+            local, start = before - before[first][run], o[first]
+            if goes_on:
+                local[run == 0] += carry
+                start[0] = head
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(local), pa.array(start[run]), pa.array(np.zeros(len(v), bool))], names=_SCANNED)
+            carry, head, last = int(local[-1] + v[-1]), int(start[-1]), b.column(0)[len(v) - 1].as_py()
+        if last is not None:  # only the last key can go on in later partitions
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([0], pa.int64()), pa.array([carry], pa.int64()), pa.array([head], pa.int64()), pa.array([True])], names=_SCANNED)
+
+    done = cut_lineage(src.repartitionByRange("k", "o").sortWithinPartitions("k", "o").mapInArrow(scan, "k string, o long, t long, s long, e boolean"))
+    earlier = Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = done.where("e").select("k", "s", F.sum("t").over(earlier).alias("c")).where("c IS NOT NULL")
+    rows = done.where("NOT e").join(F.broadcast(carry), ["k", "s"], "left")
+    return rows.select(F.col("k").alias(key), F.col("o").alias(order), (F.col("t") + F.coalesce("c", F.lit(0))).alias(out))

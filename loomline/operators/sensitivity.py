@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import accumulate
 from operator import or_
 
 import pandas as pd
@@ -60,18 +61,15 @@ _LABELS = {kind: label for kind, _, label in C.DETECTORS}
 def spans(text: str) -> list[tuple[str, int, int]]:
     """Merged hits (kind, start, end) in order.
 
-    Hits are taken by start, end and rank; one that overlaps or touches the span
-    before it joins it, which then is a secret if either was, else keeps its kind.
+    A hit opens a span of its own where it starts beyond the farthest end of all hits
+    before it (by start, end and rank). A span with a secret in it is a secret, any other
+    has the kind of its first hit.
     """
-    found = sorted((m.start(), m.end(), rank, kind) for rank, kind, p, _ in _COMPILED for m in p.finditer(text))
-    out: list[tuple[str, int, int]] = []
-    for start, end, _, kind in found:
-        if out and start <= out[-1][2]:
-            k, s, e = out[-1]
-            out[-1] = ("secret" if "secret" in (k, kind) else k, s, max(e, end))
-        else:
-            out.append((kind, start, end))
-    return out
+    hits = sorted((m.start(), m.end(), rank, kind) for rank, kind, p, _ in _COMPILED for m in p.finditer(text))
+    reach = list(accumulate((end for _, end, *_ in hits), max))
+    opens = [i for i, hit in enumerate(hits) if not i or hit[0] > reach[i - 1]]
+    groups = [hits[i:j] for i, j in zip(opens, [*opens[1:], len(hits)])]
+    return [("secret" if any(k == "secret" for *_, k in g) else g[0][3], g[0][0], reach[j - 1]) for g, j in zip(groups, [*opens[1:], len(hits)])]
 
 
 def mask_text(text: str) -> tuple[str, list[tuple[str, int, int]]]:

@@ -55,10 +55,10 @@ _LOW, _TOOL = "lower(coalesce(content, ''))", "coalesce(tool_name, '')"
 _RULES = {
     "blank": f"{_strip(_LOW)} = '' AND {_TOOL} = ''",
     "system": "r = 'system'",
-    "compaction": _any(_LOW, C.SKIP_CONTAINS[:2], "contains"),
-    "important": f"starts_with({_LOW}, {_q(C.SKIP_PREFIXES[0])}) OR {_any(_LOW, C.SKIP_CONTAINS[2:4], 'contains')}",
-    "task_list": f"starts_with({_LOW}, {_q(C.SKIP_PREFIXES[1])})",
-    "skill_dump": _any(_LOW, C.SKIP_CONTAINS[4:], "contains"),
+    "compaction": _any(_LOW, C.SKIP_COMPACTION, "contains"),
+    "important": f"starts_with({_LOW}, {_q(C.SKIP_IMPORTANT_PREFIX)}) OR {_any(_LOW, C.SKIP_IMPORTANT, 'contains')}",
+    "task_list": f"starts_with({_LOW}, {_q(C.SKIP_TASK_LIST_PREFIX)})",
+    "skill_dump": _any(_LOW, C.SKIP_SKILL_DUMP, "contains"),
     "skill_tool": f"{_TOOL} IN ('skill_view', 'skills_list')",
     "other_tool": f"r = 'tool' AND {_TOOL} NOT IN ('terminal', 'process', 'browser_console')",
     "tool_definitions": f"contains({_LOW}, 'tool definitions') AND contains({_LOW}, 'namespace')",
@@ -68,8 +68,23 @@ _EXCLUDED = f"""SELECT id AS session_id FROM sessions WHERE {_any("lower(concat_
   UNION SELECT session_id FROM messages WHERE session_id IS NOT NULL AND {_any(_LOW, TERMS, "contains")}"""
 
 
+def _masked(source: str, key: str) -> str:
+    """CTEs `span` and `masked` (key, shown, level, n_hits) of the texts of `source`: offsets of matches are sums of the lengths of what lies between them."""
+    one = lambda rank, kind, p: f"""SELECT {key}, {rank} AS rank, {_q(kind)} AS kind, (list_sum(list_transform(pc[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(mt[1:k - 1], lambda x: length(x))), 0))::BIGINT AS s, length(mt[k]) AS n
+      FROM (SELECT {key}, string_split_regex(text, {_q(p)}) AS pc, regexp_extract_all(text, {_q(p)}) AS mt, unnest(range(1, len(regexp_extract_all(text, {_q(p)})) + 1)) AS k FROM ({source}) WHERE regexp_matches(text, {_q(p)}))"""
+    hits = " UNION ALL ".join(one(i, kind, p) for i, (kind, p, _) in enumerate(C.DETECTORS))
+    label = "CASE kind " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in {kind: name for kind, _, name in C.DETECTORS}.items()) + " END"
+    return f"""hit AS ({hits}),
+reach AS (SELECT *, max(s + n) OVER (PARTITION BY {key} ORDER BY s, s + n, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM hit),
+isle AS (SELECT *, sum((far IS NULL OR s > far)::INT) OVER (PARTITION BY {key} ORDER BY s, s + n, rank ROWS UNBOUNDED PRECEDING) AS isle FROM reach),
+span AS (SELECT {key}, isle, min(s) AS a, max(s + n) AS e, CASE WHEN bool_or(kind = 'secret') THEN 'secret' ELSE arg_min(kind, (s, s + n, rank)) END AS kind FROM isle GROUP BY {key}, isle),
+cut AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY {key} ORDER BY isle), 0) AS p FROM span),
+masked AS (SELECT {key}, string_agg(substring(text, p + 1, a - p) || '[REDACTED_' || {label} || '_' || isle::BIGINT || ']', '' ORDER BY isle) || substring(any_value(text), max(e) + 1) AS shown,
+  CASE WHEN bool_or(kind IN ('secret', 'credential_name')) THEN 'secret' ELSE 'personal' END AS level, count(*)::INT AS n_hits FROM cut JOIN ({source}) USING ({key}) GROUP BY {key})"""
+
+
 def _tokens() -> str:
-    body = f"length({_one_line('coalesce(text, chr(32))')})"
+    body = f"length({_one_line('shown')})"
     tool = "CASE WHEN coalesce(tool_name, '') <> '' THEN length(tool_name) + 6 ELSE 0 END"
     n = f"length(turn_id) + length(idx::VARCHAR) + length(actor) + {tool} + least({body}, {C.TURN_CHARS[0] + 1}) + {len('turn_id= idx= actor=: ')}"
     return f"greatest(1, ceil(({n}) / 4.0))::BIGINT"
@@ -77,11 +92,12 @@ def _tokens() -> str:
 
 #: Letters beyond ASCII as one that is: this engine's word bounds only know ASCII.
 _PLAIN = r"regexp_replace(coalesce(text, chr(32)), '[^\P{L}\x00-\x7F]', 'x', 'g')"
-_FLAGGED = f"SELECT *, {_tokens()} AS tok, " + ", ".join(f"{_has(_PLAIN, p)} AS f_{f}" for f, p in C.FAMILY_PATTERNS.items()) + f" FROM ({_T})"
+_FLAGGED = f"SELECT *, {_tokens()} AS tok, " + ", ".join(f"{_has(_PLAIN, p)} AS f_{f}" for f, p in C.FAMILY_PATTERNS.items()) + f" FROM (SELECT x.*, coalesce(shown, text, '') AS shown FROM ({_T}) x LEFT JOIN masked USING (turn_id))"
 _BITS = ", ".join(f"bool_or(t.f_{f}) AS {f}" for f in C.FAMILY_PATTERNS)
 #: Windows by recursion over a session's turns as a list; `p` holds the running totals.
 _WINDOWS = f"""
-WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS k FROM ({_FLAGGED})),
+WITH RECURSIVE {_masked(_T, "turn_id")},
+t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS k FROM ({_FLAGGED})),
 s AS (SELECT session_id, count(*) AS n, list(tok ORDER BY k) AS toks FROM t GROUP BY session_id),
 p AS (SELECT session_id, n, [0::HUGEINT] || list_transform(range(1, n + 1), lambda i: list_sum(toks[1:i])) AS pre FROM s),
 w AS (
@@ -234,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
     kept = "NOT (" + " OR ".join(f"({r})" for r in _RULES.values()) + ")"
     quote = f"CASE WHEN idx % 13 = 0 THEN {_pick([*C.NOTICE_EXACT, 'terminal_foreground_timeout_cap', 'hardline_shutdown_reboot_block', ''], 'idx // 13')} ELSE '' END"
     digest = "sha256(concat_ws(chr(31), idx::VARCHAR, actor, coalesce(tool_name, ''), coalesce(text, '')))"
-    clip = lambda n: f"sum(length('turn_id=' || turn_id || ' idx=' || idx || ' actor=' || actor || CASE WHEN coalesce(tool_name, '') <> '' THEN ' tool=' || tool_name ELSE '' END || ': ') + least(length({_one_line('coalesce(text, chr(32))')}), {n + 1}) + 1)::BIGINT"
+    clip = lambda n: f"sum(length('turn_id=' || turn_id || ' idx=' || idx || ' actor=' || actor || CASE WHEN coalesce(tool_name, '') <> '' THEN ' tool=' || tool_name ELSE '' END || ': ') + least(length({_one_line('shown')}), {n + 1}) + 1)::BIGINT"
     evidence = "SELECT record_id, unnest(CASE WHEN json_valid(evidence_json) THEN from_json(evidence_json, '[{\"turn_id\":\"VARCHAR\",\"quote\":\"VARCHAR\"}]') ELSE [] END, recursive := true)"
     events_usage = """SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE 'grok-4.3' END AS model, event_id % 1000 AS p, event_id % 300 AS c, CASE WHEN event_id % 2 = 0 THEN event_id % 1400 ELSE 0 END AS t0, CASE WHEN event_id % 3 = 0 THEN event_id * 100 END AS ticks FROM events"""
     return {
@@ -248,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT session_id, which, sum(('0x' || substring(d, 1, 15))::HUGEINT)::VARCHAR AS a, sum(('0x' || substring(d, 16, 15))::HUGEINT)::VARCHAR AS b, count(*) AS n FROM (
           SELECT session_id, 'old' AS which, {digest} AS d FROM t UNION ALL SELECT session_id, 'new', {digest} FROM (SELECT * REPLACE (CASE WHEN idx % 97 = 3 THEN text || '!' ELSE text END AS text) FROM t)) GROUP BY ALL))
           SELECT session_id, content_hash FROM h WHERE which = 'new' AND (session_id, content_hash) NOT IN (SELECT (session_id, content_hash) FROM h WHERE which = 'old')""",
-        "token_estimate": f"SELECT session_id, count(*) AS n_turns, sum(tok)::BIGINT AS tokens, max(tok)::INT AS largest FROM ({_FLAGGED}) GROUP BY session_id",
+        "token_estimate": f"WITH {_masked(_T, 'turn_id')} SELECT session_id, count(*) AS n_turns, sum(tok)::BIGINT AS tokens, max(tok)::INT AS largest FROM ({_FLAGGED}) GROUP BY session_id",
         "session_windows": f"{_WINDOWS} SELECT session_id, window_index, start_idx, end_idx, n_turns, tokens FROM win",
         "window_ids": window_ids,
         "window_overlap_turns": f"{_WINDOWS} SELECT turn_id, count(*) AS n_windows FROM mem GROUP BY turn_id HAVING count(*) > 1",
@@ -259,6 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_clip_tier": f"{_WINDOWS}, z AS (SELECT session_id, window_index, {clip(200)} AS n1, {clip(90)} AS n2, {clip(42)} AS n3 FROM mem GROUP BY ALL) SELECT session_id, window_index, n1, n2, n3, CASE WHEN ceil((n1 + 400) / 4.0) <= 300 THEN 1 WHEN ceil((n2 + 400) / 4.0) <= 300 THEN 2 ELSE 3 END AS tier FROM z",
         "sensitivity_level": f"SELECT doc_id, CASE WHEN {_SECRET} THEN 'secret' WHEN {_OTHER} THEN 'personal' ELSE 'internal' END AS level FROM documents",
         "secret_hit_counts": f"SELECT doc_id, {_hits()} FROM documents",
+        "masked_text": f"WITH d AS (SELECT doc_id, text FROM documents), {_masked('SELECT doc_id, text FROM d', 'doc_id')} SELECT doc_id, coalesce(shown, text) AS text, CASE WHEN text IS NOT NULL THEN coalesce(level, 'internal') END AS level, CASE WHEN text IS NOT NULL THEN coalesce(n_hits, 0) END AS n_hits FROM d LEFT JOIN masked USING (doc_id)",
         "question_signals": f"SELECT turn_id, actor FROM ({_T}) WHERE actor IN ('user', 'agent') AND {_QUESTION}",
         "correction_signals": f"SELECT turn_id, CASE WHEN {_AUTHORITY} THEN 'authorization_limit' ELSE 'correction' END AS pattern_type FROM ({_T}) WHERE actor = 'user' AND {_CORRECTION}",
         "tool_failures": f"SELECT turn_id FROM ({_T}) WHERE {_TOOLED} AND {_FAILURE}",

@@ -116,10 +116,8 @@ def mine(store: TableStore, sessions: DataFrame, messages: DataFrame, chat: Chat
     pool = sessions if by_cursor else sessions.join(store.read("ingested", "session_id string").withColumnRenamed("session_id", "id"), "id", "left_anti")
     chosen = cut_lineage(normalize.newest_sessions(pool, normalize.excluded_sessions(sessions, messages, terms), limit, cursor if by_cursor else None))
     ids = chosen.select(F.col("id").alias("session_id"))
-    rows = messages.join(ids, "session_id", "left_semi").dropDuplicates(["session_id", "id"]).withColumn("_one", F.lit(1)).select("session_id", "id", "role", F.col("content").alias("text"), "tool_name", F.col("timestamp").alias("ts"), "_one")
-    from loomline.operators.scan import running_total
-
-    turns = cut_lineage(normalize.turns(running_total(rows, "session_id", "id", "_one", "idx")))
+    rows = messages.join(ids, "session_id", "left_semi").select("session_id", "id", "role", F.col("content").alias("text"), "tool_name", F.col("timestamp").alias("ts"))
+    turns = cut_lineage(normalize.turns(normalize.positioned(rows)))
     summary = harness(store, turns, chat, version=version, now=now, **options)
     latest = chosen.agg(F.max("started_at")).first()[0]
     if latest is not None and summary.errors == 0 and not summary.budget_exhausted:

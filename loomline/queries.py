@@ -3,11 +3,8 @@
 Tables hold re-delivered rows, so each query first takes every row once. Where the
 tables have no counterpart (model payloads, provider usage, ledgers), columns are
 derived from them by arithmetic that Spark and SQL write alike; such inputs are
-scaffolding and say nothing about the data. `recall_quote_strict` and `masked_text`
-have no SQL (an order-dependent fold; offsets of all matches) and are tested against
-plain Python.
-The window queries measure masked text; their SQL measures the raw text, so it differs
-wherever a session holds a masked span. They are tested against plain Python.
+scaffolding and say nothing about the data. `recall_quote_strict` has no SQL (an
+order-dependent fold) and is tested against plain Python.
 """
 
 from __future__ import annotations
@@ -37,9 +34,8 @@ def _turns(spark: SparkSession, root: str) -> DataFrame:
 
 def _messages(spark: SparkSession, root: str) -> DataFrame:
     """Messages of sessions, each once, with their position by arrival."""
-    m = table(spark, root, "messages").where("session_id IS NOT NULL").dropDuplicates(["session_id", "id"]).withColumn("_one", F.lit(1))
-    m = m.select("session_id", "id", "role", "content", "tool_name", "timestamp", "_one")
-    return scan.running_total(m, "session_id", "id", "_one", "idx").select("session_id", "idx", "role", F.col("content").alias("text"), "tool_name", F.col("timestamp").alias("ts"))
+    m = table(spark, root, "messages").where("session_id IS NOT NULL AND id IS NOT NULL")
+    return normalize.positioned(m.select("session_id", "id", "role", F.col("content").alias("text"), "tool_name", F.col("timestamp").alias("ts")))
 
 
 def _records(spark: SparkSession, root: str) -> DataFrame:

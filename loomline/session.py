@@ -1,9 +1,11 @@
-"""Session factory, table loading and lineage cutting."""
+"""Session factory, table loading and intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +33,45 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: `spark.checkpoint.dir`, which on a cluster all executors share.
+
+    Where it isn't set, a temporary folder serves a local master; any other master is an error,
+    as a folder of one machine would lose the tables with it.
+    """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loomline-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back.
+    """Write `df` to the shared folder as a Parquet table and read it back.
 
-    The folder is `spark.checkpoint.dir` of the session, which on a cluster is
-    shared by all executors. Only where neither it nor a folder of the context
-    is set (tests on one machine) a temporary folder is used.
+    Such a table survives lost executors, and later steps read only the columns and rows
+    they need. Tables are deleted when the session's process ends (`drop_written` does so earlier).
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomline-ckpt-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/loomline-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def drop_written() -> None:
+    """Delete the intermediate tables; nothing made from them can be read any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone; the folder's owner cleans up
+            pass

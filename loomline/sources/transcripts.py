@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators.normalize import first_field, message_text
+from loomline.operators.scan import running_total
 
 #: Keys under which a JSON transcript may keep its messages, in order of preference.
 LIST_KEYS = ("messages", "conversation", "turns")
@@ -64,9 +65,8 @@ def messages_of(rows: DataFrame) -> DataFrame:
     `idx` is the message's place in the file among messages, blank lines aside.
     """
     ok = rows.join(rows.where("bad IS NOT NULL").select("session_id").distinct(), "session_id", "left_anti")
-    from loomline.operators.scan import running_total
-
-    placed = running_total(ok.select("session_id", "line", "message").withColumn("_one", F.lit(1)), "session_id", "line", "_one", "idx")
+    ids = ok.select("session_id", "line", F.lit(1).alias("_one"))
+    placed = ok.select("session_id", "line", "message").join(running_total(ids, "session_id", "line", "_one", "idx"), ["session_id", "line"])
     get = lambda k: F.get_json_object("message", f"$.{k}")
     is_object = F.trim("message").startswith("{")
     content = F.to_json(F.try_variant_get(F.try_parse_json("message"), "$.content", "variant"))

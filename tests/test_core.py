@@ -47,7 +47,7 @@ def test_cut_and_strip(spark):
 def test_running_total_splits_hot_keys(spark):
     r = random.Random(1)
     rows = [("hot" if r.random() < 0.5 else f"k{r.randint(0, 20)}", i, r.randint(0, 9), "extra") for i in range(3000)]
-    got = {(k, i): b for k, i, _, _, b in one(scan.running_total(spark.createDataFrame(rows, "k string, i long, v int, x string").repartition(7), "k", "i", "v", "before"))}
+    got = {(k, i): b for k, i, b in one(scan.running_total(spark.createDataFrame(rows, "k string, i long, v int, x string").repartition(7), "k", "i", "v", "before"))}
     sums = {}
     for k, i, v, _ in rows:
         assert got[k, i] == sums.get(k, 0)
@@ -180,6 +180,17 @@ def test_windows_follow_the_rule(spark):
         assert [got[s][k] for k in sorted(got[s])] == plain_windows(ts, 200, 50) == windows.greedy(ts, 200, 50)
 
 
+@pytest.mark.parametrize("overlap", [0, 50])
+def test_windows_across_blocks(spark, overlap):
+    r = random.Random(4)
+    sessions = {"hot": [r.choice([1, 9, 40, 260]) for _ in range(4000)], "edge": [1] * 402, "one": [7], "two": [5] * 403}
+    rows = [(s, 3 * i, t, 1 << (i % 3)) for s, ts in sessions.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "session_id string, idx int, tokens int, flags int").repartition(5)
+    got = {(s, k): (a // 3, b // 3 + 1, n, tok, bits) for s, k, a, b, n, tok, bits in one(windows.windows(df, 200, overlap, block=402))}
+    want = {(s, k): (a, b, b - a, sum(ts[a:b]), sum({1 << (i % 3) for i in range(a, b)})) for s, ts in sessions.items() for k, (a, b) in enumerate(windows.greedy(ts, 200, overlap))}
+    assert got == want
+
+
 def test_routing(spark):
     flags = spark.createDataFrame([("use opus here",), ("wrong, prefer tests",), ("",)], "t string").select(F.col("t"), windows.routed(windows.family_flags(F.col("t"))).alias("f"))
     got = dict(one(flags))
