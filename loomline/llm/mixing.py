@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.tokens import RANKS, TOKENIZER_DIR, with_sizes
 from loomline.session import cut_lineage
 
-#: Most targets; the table of targets is checked against it before it is broadcast.
+#: Most targets that are broadcast.
 MAX_TARGETS = 100_000
 
 
@@ -67,35 +68,43 @@ def poisson_table(rate: float, cap: int) -> tuple[float, list[float] | None]:
     return hi, below(hi)
 
 
+_PLANNED = "key string, source string, share double, cap int, tokens long, all_tokens long, rate double, mean double, steps array<double>"
+
+
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row a target: tokens there are, rate wanted, and the inverted distribution as an array of thresholds.
 
-    The only thing brought to the driver is one total of tokens for each target, and T.
+    The only thing brought to the driver is T; distributions are inverted where the targets are.
     """
     want = targets.select(F.col("source").alias("source"), source_key(F.col("source")).alias("key"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("cap"))
-    want = want.where("key IS NOT NULL").groupBy("key").agg(F.max(F.struct("share", "cap", "source")).alias("w")).select("key", "w.source", "w.share", "w.cap")
-    rows = want.limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    spark = sizes.sparkSession
-    totals = sizes.groupBy("key").agg(F.sum("n_tokens").cast("long").alias("n"))
-    known = spark.createDataFrame([(r.key,) for r in rows], "key string")
-    have = totals.groupBy().agg(F.sum("n").alias("all")).collect()[0]["all"] or 0
-    by = {r.key: r.n or 0 for r in totals.join(F.broadcast(known), "key", "left_semi").collect()}
-    out = []
-    for r in rows:
-        n = by.get(r.key, 0)
-        rate = r.share * have / n if n else 0.0
-        mean, steps = poisson_table(min(rate, r.cap), r.cap)
-        out.append((r.key, r.source, r.share, r.cap, n, have, float(rate), float(mean), steps))
-    return spark.createDataFrame(out, "key string, source string, share double, cap int, tokens long, all_tokens long, rate double, mean double, steps array<double>")
+    want = want.where("key IS NOT NULL").groupBy("key").agg(F.max(F.struct("share", "cap", "source")).alias("w")).select("key", "w.source", "w.share", F.col("w.cap").cast("int").alias("cap"))
+    totals = sizes.groupBy("key").agg(F.sum("n_tokens").cast("long").alias("tokens"))
+    have = sizes.agg(F.sum("n_tokens").cast("long")).first()[0] or 0
+    rate = F.when(F.col("tokens") > 0, F.col("share") * F.lit(have) / F.col("tokens")).otherwise(F.lit(0.0))
+    rows = want.join(totals, "key", "left").select("key", "source", "share", "cap", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.lit(have).cast("long").alias("all_tokens"), rate.alias("rate"))
+
+    def invert(it):
+        for b in it:
+            got = [poisson_table(min(r, float(c)), c) for r, c in zip(b.column(6).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m for m, _ in got], pa.float64()), pa.array([s for _, s in got], pa.list_(pa.float64()))], names=_PLANNED_NAMES)
+
+    return cut_lineage(rows.mapInArrow(invert, _PLANNED))
+
+
+_PLANNED_NAMES = [x.split()[0] for x in _PLANNED.split(", ")]
 
 
 def draws(sizes: DataFrame, planned: DataFrame, key: str, seed: int) -> DataFrame:
-    """`sizes` of the planned sources with `n_uses`, the number of times the document is drawn."""
+    """`sizes` of the planned sources with `n_uses`, the number of times the document is drawn.
+
+    Up to `MAX_TARGETS` targets are broadcast; more are joined by the source, whose hot keys adaptive execution splits.
+    """
     # 53 bits of the hash as a number in [0, 1)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), F.col(key)), 11).cast("double") / F.lit(float(2**53))
-    joined = sizes.join(F.broadcast(planned.select("key", "source", "steps", "cap")), "key").withColumn("_u", u)
+    small = planned.select("key", "source", "steps", "cap")
+    if planned.count() <= MAX_TARGETS:
+        small = F.broadcast(small)
+    joined = sizes.join(small, "key").withColumn("_u", u)
     return joined.withColumn("n_uses", F.when(F.col("steps").isNull(), F.col("cap")).otherwise(F.size(F.filter("steps", lambda p: F.col("_u") >= p)))).drop("_u", "steps", "cap")
 
 
@@ -112,7 +121,11 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     random order; texts are joined to it by id where they are wanted. The report
     has a row for each target with the tokens wanted and drawn and the shares.
     """
-    sizes = sizes_of(documents, key, text, folder=folder, ranks=ranks)
+    return mixed(sizes_of(documents, key, text, folder=folder, ranks=ranks), targets, key, seed)
+
+
+def mixed(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """`mix` of documents whose sizes are known (`sizes_of`)."""
     planned = plan(sizes, targets)
     drawn = draws(sizes, planned, key, seed)
     uses = drawn.where("n_uses > 0").select(key, "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n_uses"))).alias("copy"))
@@ -131,3 +144,15 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
         )
     )
     return selection, report
+
+
+def checks(selection: DataFrame, sizes: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(source, within_cap, as_wanted, unique): for each target whether no document is used more often than it may, whether the tokens drawn lie
+    within six standard deviations of those wanted (all there are, for a source that can't reach its share), and whether no use occurs twice."""
+    planned = plan(sizes, targets)
+    uses = selection.groupBy("source", key).agg(F.count("*").alias("k"), F.max("copy").alias("last"), F.countDistinct("copy").alias("copies"), F.max("n_tokens").cast("long").alias("n"))
+    got = uses.groupBy("source").agg(F.max("k").alias("most"), F.sum(F.col("k") * F.col("n")).alias("drawn"), F.min((F.col("k") == F.col("copies")) & (F.col("k") == F.col("last"))).alias("unique"))
+    spread = sizes.groupBy("key").agg(F.sum(F.col("n_tokens").cast("double") ** 2).alias("squares"))
+    rate = F.least(F.col("rate"), F.col("cap").cast("double"))
+    near = F.abs(F.coalesce("drawn", F.lit(0)) - rate * F.col("tokens")) <= F.when(F.col("rate") >= F.col("cap"), F.lit(0.5)).otherwise(6 * F.sqrt(F.coalesce("squares", F.lit(0.0)) * rate) + 0.5)
+    return planned.join(spread, "key", "left").join(got, "source", "left").select("source", (F.coalesce("most", F.lit(0)) <= F.col("cap")).alias("within_cap"), near.alias("as_wanted"), F.coalesce("unique", F.lit(True)).alias("unique"))

@@ -8,8 +8,12 @@ hold it under every constraint and suits it best, by one of two measures:
 weighted product of demand and what is left, which favours containers that
 have left most of what the document needs).
 
-Documents are dealt by the hash of their id to shards of at most
-`SHARD_DOCUMENTS`, which are packed independently, so the work is linear in the
+The attention cost may reach `COST_SHARE` of that of one full-length document, so a
+document that costs nearly as much stays alone; a container always takes its first one.
+
+Documents are dealt by the hash of their id to shards of about `SHARD_DOCUMENTS`, whose
+number follows from the number of documents alone: the containers are the same
+under any partitioning. Shards are packed independently, so the work is linear in the
 input, and each shard loses at most its own few open containers. A shard takes
 documents of all sizes, so small ones fill the gaps of large ones.
 
@@ -34,15 +38,19 @@ from loomline.llm.tokens import RANKS, TOKENIZER_DIR, with_sizes
 SHARD_DOCUMENTS = 4096
 #: Most documents of one container.
 MAX_DOCUMENTS = 256
+#: Most attention cost of a container of several documents, as a share of the square of its tokens.
+COST_SHARE = 0.75
+#: Most tasks of packing; a task packs its shards one after the other.
+MAX_TASKS = 20_000
 #: Weights of tokens, documents and attention cost in the measures.
 WEIGHTS = (1.0, 0.05, 0.1)
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_docs: int = MAX_DOCUMENTS, max_cost: float | None = None, weights=WEIGHTS, rule: str = "norm") -> np.ndarray:
-    """Container of each item; `sizes` are at most `capacity`. Ties go to the container opened first."""
+    """Container of each item; `sizes` are at most `capacity`. Ties go to the container opened first. Only an item alone may cost more than `max_cost`."""
     if rule not in ("norm", "dot"):
         raise ValueError("rule is 'norm' or 'dot'")
-    max_cost = float(capacity) ** 2 if max_cost is None else max_cost
+    max_cost = COST_SHARE * float(capacity) ** 2 if max_cost is None else max_cost
     scale = np.array([capacity, max_docs, max_cost], float)
     w = np.asarray(weights, float)
     n = len(sizes)
@@ -73,7 +81,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int = MAX_DOCUMENTS, ma
             room[:, best], name[best] = scale, opened - 1
         room[:, best] -= need
         out[i] = name[best]
-        if room[0, best] < max(least, 1) or room[1, best] < 1:  # full: nothing that comes can enter
+        if room[0, best] < max(least, 1) or room[1, best] < 1 or room[2, best] < least * least:  # full: nothing that comes can enter
             used -= 1
             room[:, best : used] = room[:, best + 1 : used + 1].copy()
             name[best : used] = name[best + 1 : used + 1].copy()
@@ -88,31 +96,34 @@ def pack(
     weights=WEIGHTS, rule: str = "norm", shard_documents: int = SHARD_DOCUMENTS, folder: str = TOKENIZER_DIR, ranks: str = RANKS,
 ) -> DataFrame:
     """(container_id, key, piece, token_start, n_tokens): one row for each document, several for one that had to be split."""
-    sized = with_sizes(documents.where(F.col(key).isNotNull()), text, key, folder=folder, ranks=ranks)
+    docs = documents.where(F.col(key).isNotNull())
+    sized = with_sizes(docs, text, key, folder=folder, ranks=ranks)
     kind = dict(sized.dtypes)[key]
-    # only (id, size) is shuffled, by the hash of the id, so a shard is the same when its task is run again
-    dealt = sized.withColumn("_h", F.xxhash64(key)).repartition(F.col("_h")).sortWithinPartitions("_h", key)
+    shards = max(1, -(-docs.count() // shard_documents))
+    shard = F.pmod(F.xxhash64(key), F.lit(shards))
+    # only (shard, id, size) is shuffled; the number of tasks is stated, so small data isn't drawn together into one
+    dealt = sized.select(shard.alias("shard"), key, "n_tokens").repartition(min(shards, MAX_TASKS), "shard").sortWithinPartitions("shard", F.desc("n_tokens"), key)
 
     def run(it):
-        from pyspark import TaskContext
-
-        part, shard, held, rows = TaskContext.get().partitionId(), 0, [], 0
+        held, at = [], None
         for b in it:
-            while b.num_rows:
-                take = min(b.num_rows, shard_documents - rows)
-                held.append(b.slice(0, take))
-                rows += take
-                b = b.slice(take)
-                if rows == shard_documents:
-                    yield from _pack_shard(pa.Table.from_batches(held), f"{part}-{shard}", key, capacity, max_docs, max_cost, weights, rule)
-                    shard, held, rows = shard + 1, [], 0
-        if rows:
-            yield from _pack_shard(pa.Table.from_batches(held), f"{part}-{shard}", key, capacity, max_docs, max_cost, weights, rule)
+            s = b.column(0).to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(s)) + 1, len(s)]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if hi == lo:
+                    continue
+                if at is not None and s[lo] != at:
+                    yield from _pack_shard(pa.Table.from_batches(held), at, key, capacity, max_docs, max_cost, weights, rule)
+                    held = []
+                at = int(s[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from _pack_shard(pa.Table.from_batches(held), at, key, capacity, max_docs, max_cost, weights, rule)
 
     return dealt.mapInArrow(run, _OUT.format(key=f"`{key}`", kind=kind))
 
 
-def _pack_shard(t: pa.Table, shard: str, key: str, capacity: int, max_docs: int, max_cost: float | None, weights, rule: str):
+def _pack_shard(t: pa.Table, shard: int, key: str, capacity: int, max_docs: int, max_cost: float | None, weights, rule: str):
     size = t["n_tokens"].to_numpy().astype(np.int64)
     whole = np.where(size > capacity, (size - 1) // capacity, 0)  # full pieces of split documents; the last piece is never empty
     rest = size - whole * capacity
@@ -131,3 +142,18 @@ def containers(packed: DataFrame, capacity: int) -> DataFrame:
     """(container_id, n_documents, n_tokens, unused_tokens) of each container."""
     n = F.sum("n_tokens").cast("long")
     return packed.groupBy("container_id").agg(F.count("*").alias("n_documents"), n.alias("n_tokens"), (F.lit(capacity) - n).alias("unused_tokens"))
+
+
+def checks(packed: DataFrame, documents: DataFrame, capacity: int, key: str = "doc_id", max_docs: int = MAX_DOCUMENTS, max_cost: float | None = None) -> DataFrame:
+    """One row that says whether a packing keeps its promises: how many documents there are and how many are packed, split, or cut
+    although they fit; containers beyond a capacity; and whether the containers are at most a twentieth more than their tokens need."""
+    max_cost = COST_SHARE * float(capacity) ** 2 if max_cost is None else max_cost
+    docs = packed.groupBy(key).agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.struct("piece", "token_start", "n_tokens")).alias("last"))
+    by_doc = docs.agg(
+        F.count("*").alias("packed"), F.count_if(F.col("n") > capacity).alias("split"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= capacity)).alias("cut"),
+        F.count_if((F.col("last.piece") + 1 != F.col("pieces")) | (F.col("last.token_start") + F.col("last.n_tokens") != F.col("n"))).alias("torn"),
+    )
+    boxes = packed.groupBy("container_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens").cast("double") ** 2).alias("cost"))
+    by_box = boxes.agg(F.count_if((F.col("n") > capacity) | (F.col("k") > max_docs) | ((F.col("k") > 1) & (F.col("cost") > max_cost))).alias("overfull"), (F.count("*") <= F.ceil(F.sum("n") / capacity * 1.05) + 1).alias("tight"))
+    total = documents.where(F.col(key).isNotNull()).agg(F.count("*").alias("documents"))
+    return total.join(by_doc, F.lit(True)).join(by_box, F.lit(True))

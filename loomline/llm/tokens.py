@@ -27,28 +27,9 @@ def encoding(folder: str = TOKENIZER_DIR, ranks: str = RANKS):
     return tiktoken.Encoding("loomline", pat_str=_SPLIT, mergeable_ranks=table, special_tokens={})
 
 
-#: A run of one character longer than this is counted by parts: merging is quadratic in the length of a piece.
-_LONG = 20_000
-
-
 def count_tokens(text: str, enc) -> int:
-    """Tokens of the whole text.
-
-    Long texts are given to the encoder in parts cut before a blank between words, which changes no piece of the split; only a run of `_LONG` characters without such a blank is cut inside.
-    """
-    if len(text) <= _LONG:
-        return len(enc.encode_ordinary(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(at + _LONG, len(text))
-        if end < len(text):
-            cut = end
-            while cut > at + 1 and not (text[cut] == " " and text[cut - 1].isalnum() and cut + 1 < len(text) and text[cut + 1].isalnum()):
-                cut -= 1
-            end = cut if cut > at + 1 else end
-        total += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    """Tokens of the whole text, encoded in one piece whatever its length; merging is done by the encoder in near-linear time."""
+    return len(enc.encode_ordinary(text))
 
 
 def with_sizes(df: DataFrame, text: str, *keep: str, folder: str = TOKENIZER_DIR, ranks: str = RANKS) -> DataFrame:
