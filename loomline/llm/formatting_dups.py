@@ -4,9 +4,9 @@ Method: Merkle-style bottom-up hashing. A text is either a *record* (a list of
 named fields in some notation, JSON included) or plain text. Leaves are
 normalised (letter case and everything that is neither letter nor digit
 dropped), the digests of the children of an unordered node are sorted, and the
-digest of the root names the group. Groups are then confirmed structurally:
-the grouping key also carries the full canonical form, so that two texts share
-a group only where their structures are equal.
+digest of the root names the group. Groups are then confirmed structurally: all
+canonical forms under one digest are compared in full, and a digest that holds
+several is divided by them.
 
 Plain texts never leave the JVM: only texts that can be a record (they hold a
 colon or an equals sign) go through an Arrow batch to the parser.
@@ -32,8 +32,8 @@ from loomline.session import cut_lineage
 _NOT_ALNUM = re.compile(r"[\W_]+")
 #: Separators between fields, tried in this order; the first under which every piece is `name: value` or `name = value` wins.
 _SEPARATORS = (re.compile(r";"), re.compile(r"\|"), re.compile(r"\n"), re.compile(r"&"), re.compile(r"\t"), re.compile(r","))
-_FIELD = re.compile(r"^\W*([^\W_][^:=;|\n{}\[\]]{0,60}?)\s*(?::=|=>|[:=])\s*(.*?)\s*$", re.S)
-_MAX_NAME_WORDS = 4
+#: A field: a name of any length, a mark, a value.
+_FIELD = re.compile(r"^\W*([^\W_][^:=;|\n{}\[\]]*)(?::=|=>|[:=])\s*(.*?)\s*$", re.S)
 
 
 def fold(text: str) -> str:
@@ -103,7 +103,7 @@ def parse_record(text: str) -> dict | list | None:
         out: list[tuple[str, object]] = []
         for p in pieces:
             m = _FIELD.match(p)
-            if not m or len(m[1].split()) > _MAX_NAME_WORDS:
+            if not m:
                 break
             out.append((fold(m[1]), m[2]))
         else:
@@ -134,52 +134,69 @@ def keyed(df: DataFrame, source: Column, row_id: str, text: str, *carry: str) ->
     """(src, rid, plain, root, canon, carry...) of every row with a text.
 
     `plain` is the digest of the folded text, `root` the Merkle root: that of
-    the record, or `plain` itself for plain text. `canon` is the canonical form
-    itself: that of the record, or the folded text of plain text.
+    the record, or `plain` itself for plain text (16 bytes each). `canon` is the canonical
+    form itself: that of the record, or the folded text of plain text.
     """
     t = F.col(text)
-    base = df.select(source.alias("src"), F.col(row_id).alias("rid"), t.alias("_t"), *carry).where(F.col("_t").isNotNull() & F.col("rid").isNotNull())
+    base = df.select(source.alias("src"), F.col(row_id).alias("rid"), t.alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carry]).where(F.col("_t").isNotNull() & F.col("rid").isNotNull())
     base = base.withColumn("_r", _record_udf(F.when(F.col("_t").rlike("[:=]"), F.col("_t"))))
     folded = fold_column(F.col("_t"))
-    return base.select(
-        "src", "rid", F.substring(F.sha2(folded, 256), 1, 32).alias("plain"),
-        F.coalesce(F.col("_r.digest"), F.substring(F.sha2(folded, 256), 1, 32)).alias("root"),
-        F.coalesce(F.col("_r.canon"), folded).alias("canon"),
-        *carry,
-    )
+    plain = F.substring(F.sha2(folded, 256), 1, 32)
+    return base.select("src", "rid", F.unhex(plain).alias("plain"), F.unhex(F.coalesce(F.col("_r.digest"), plain)).alias("root"), F.coalesce(F.col("_r.canon"), folded).alias("canon"), *[F.col(f"_c_{c}").alias(c) for c in carry])
 
 
-def grouped(keys: DataFrame) -> DataFrame:
-    """`keys` with the column `grp`, the name of the group in its source.
-
-    Two keys tie texts together: equal roots with equal canonical forms (the
-    whole form is part of the key, so a collision of digests joins nothing and
-    the start of the root is enough), and equal folded texts (a record and the
-    same words without its punctuation). Where one folded text has
-    several roots, their groups are joined: the smallest root reaches all of a
-    component by repeated minima over both keys. Only folded texts with several
-    roots take part, so the loop ends at once on data without such ties.
+def divided(keys: DataFrame) -> DataFrame:
+    """`keys` without `canon`, confirmed: where texts of different structure share a root, each structure gets a root of its own.
+
+    Equal forms are combined before the shuffle, so each is compared once a task, however many rows have it.
     """
-    keys = cut_lineage(keys.withColumn("root", F.concat(F.substring("root", 1, 8), F.lit("-"), "canon")).drop("canon"))
-    ties = (
-        keys.groupBy("src", "plain").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        .select("src", "plain")
-        .join(keys.select("src", "plain", "root").distinct(), ["src", "plain"])
-        .withColumn("label", F.col("root"))
-    )
-    ties = cut_lineage(ties)
-    if ties.isEmpty():
-        return keys.withColumnRenamed("root", "grp")
+    forms = keys.groupBy("src", "root", "canon").agg(F.lit(1).alias("one")).groupBy("src", "root").agg(F.count("*").alias("n"))
+    clash = cut_lineage(forms.where("n > 1").select("src", "root"))
+    if clash.isEmpty():
+        return keys.drop("canon")
+    own = F.when(F.col("_clash"), F.concat("root", F.unhex(F.sha2("canon", 256)))).otherwise(F.col("root"))
+    return keys.join(clash.withColumn("_clash", F.lit(True)), ["src", "root"], "left").withColumn("root", own).drop("canon", "_clash")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(src, node, label) of the nodes of undirected edges (src, a, b): the smallest node each can reach.
+
+    Alternating star contraction: the neighbours of a node are hung on the smallest of them, first the larger ones, then
+    the smaller ones, until nothing changes; a chain of n edges takes some log n rounds.
+    """
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        both = e.unionByName(e.select("src", F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select("src", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = both.groupBy("src", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        hung = both.join(low, ["src", "a"])
+        moved = hung.where("b > a").select("src", F.col("b").alias("a"), F.col("m").alias("b")) if large else hung.select("src", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("src", "a", F.col("m").alias("b")))
+        return moved.where("a <> b").distinct()
+
+    e = cut_lineage(edges.where("a <> b").distinct())
     while True:
-        by_plain = ties.groupBy("src", "plain").agg(F.min("label").alias("a"))
-        by_root = ties.join(by_plain, ["src", "plain"]).groupBy("src", "root").agg(F.min("a").alias("b"))
-        after = cut_lineage(ties.join(by_root, ["src", "root"]).select("src", "plain", "root", "label", F.least("label", "b").alias("new")))
-        moved = not after.where("new <> label").isEmpty()
-        ties = after.select("src", "plain", "root", F.col("new").alias("label"))
-        if not moved:
-            break
-    names = ties.groupBy("src", "root").agg(F.min("label").alias("label"))
-    return keys.join(names, ["src", "root"], "left").withColumn("grp", F.coalesce("label", "root")).drop("label", "root")
+        after = cut_lineage(star(star(e, True), False))
+        if after.exceptAll(e).isEmpty() and e.count() == after.count():
+            return after.groupBy("src", F.col("a").alias("node")).agg(F.min("b").alias("label"))
+        e = after
+
+
+def grouped(keys: DataFrame) -> DataFrame:
+    """`keys` with the column `grp`, the name of the group in its source, in place of `root` and `canon`.
+
+    Two things tie texts together: equal roots (confirmed by `divided`), and equal folded texts
+    (a record and the same words without its punctuation). Only folded texts of records can
+    have several roots; where they have, the roots are joined into components.
+    """
+    keys = divided(cut_lineage(keys))
+    several = keys.where("root <> plain").select("src", "plain", "root").distinct()
+    beside = keys.where("root = plain").select("src", "plain", "root").join(several.select("src", "plain").distinct(), ["src", "plain"], "left_semi").distinct()
+    spread = several.unionByName(beside)
+    ties = spread.join(spread.groupBy("src", "plain").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("src", "plain", "lo"), ["src", "plain"])
+    edges = cut_lineage(ties.where("root <> lo").select("src", F.col("root").alias("a"), F.col("lo").alias("b")))
+    if edges.isEmpty():
+        return keys.drop("plain").withColumnRenamed("root", "grp")
+    names = cut_lineage(_components(edges)).withColumnRenamed("node", "root")
+    return keys.drop("plain").join(names, ["src", "root"], "left").withColumn("grp", F.coalesce("label", "root")).drop("label", "root")
 
 
 def copies(groups: DataFrame) -> DataFrame:

@@ -66,18 +66,18 @@ def p4_conversations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _register_groups(spark: SparkSession, root: str) -> DataFrame:
-    keys = formatting_dups.keyed(table(spark, root, "cie_records"), F.lit("cie_records"), "record_id", "statement")
-    return formatting_dups.grouped(keys)
+    keys = formatting_dups.keyed(fusion.prepared(table(spark, root, "cie_records")), F.lit("cie_records"), "record_id", "statement", *fusion.CARRIED)
+    return cut_lineage(formatting_dups.grouped(keys).drop("src"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """The row that gives each settled field of each group of duplicates."""
-    return fusion.fuse(table(spark, root, "cie_records"), _register_groups(spark, root))[1]
+    return fusion.field_winners(_register_groups(spark, root))
 
 
 def p5_survivors(spark: SparkSession, root: str) -> DataFrame:
     """One surviving record for each group of duplicates."""
-    return fusion.fuse(table(spark, root, "cie_records"), _register_groups(spark, root))[0]
+    return fusion.survivors(_register_groups(spark, root), table(spark, root, "cie_records"))
 
 
 def _capacity(spark: SparkSession, root: str) -> int:
@@ -144,7 +144,7 @@ def _fold(x: str) -> str:
     return rf"regexp_replace(lower(upper({x})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 
-_PIECE = r"'^[^\p{L}\p{N}]*[\p{L}\p{N}][^:=;|\n{}\[\]]{0,60}?\s*[:=]'"
+_PIECE = r"'^[^\p{L}\p{N}]*[\p{L}\p{N}][^:=;|\n{}\[\]]*[:=]'"
 
 
 def _by(sep: str) -> str:
@@ -187,10 +187,10 @@ WITH kept AS (
 ), whole AS (
   SELECT session_id FROM ranked GROUP BY session_id
   HAVING count(*) FILTER (who = 'other') = 0 AND count(*) FILTER (who IN ('user', 'assistant')) > 0 AND max(who) FILTER (k = 1) = 'user'
-)
-SELECT DISTINCT session_id FROM messages WHERE session_id IS NOT NULL AND (
+), bad AS (SELECT DISTINCT session_id FROM messages WHERE session_id IS NOT NULL AND (
   session_id NOT IN (SELECT session_id FROM whole)
-  OR session_id IN (SELECT session_id FROM talk WHERE who = 'user' AND coalesce(nxt, 'user') = 'user'))"""
+  OR session_id IN (SELECT session_id FROM talk WHERE who = 'user' AND coalesce(nxt, 'user') = 'user')))
+"""
 
 
 def _instant_sql(c: str) -> str:
@@ -220,7 +220,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT src AS src_table, first_id, rid AS copy_id FROM (SELECT *, min(rid) OVER (PARTITION BY src, g) AS first_id FROM ({both})) WHERE rid <> first_id",
         "p1_collapsed": f"SELECT src AS src_table, min(rid) AS first_id, count(*) AS n_rows, sum(n)::BIGINT AS occurrences FROM ({both}) GROUP BY src, g",
-        "p4_found": _P4,
+        "p4_found": f"{_P4} SELECT session_id FROM bad",
+        "p4_conversations": f"{_P4} SELECT session_id, k - 1 AS seq, who AS role, content FROM ranked WHERE session_id NOT IN (SELECT session_id FROM bad)",
         "p5_found": _p5(),
         # no document lies near the capacity, so four characters a token tell which must be split
         "p6_checks": "SELECT count(*) AS documents, count(*) AS packed, count(*) FILTER (length(text) > 4 * capacity_tokens) AS split, 0::BIGINT AS cut, 0::BIGINT AS torn, 0::BIGINT AS overfull, true AS tight FROM documents, pack_spec",
