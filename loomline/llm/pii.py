@@ -11,12 +11,13 @@ stretches that are left go through Viterbi, which gives the same labels as decod
 everything.
 
 Defined results: null and empty texts have no mention; evidence that can't be read
-as JSON has no quotes to report, its masked form is made from the raw string; a row
+as a JSON list is taken as one raw string, for reports and for masking; a row
 delivered again counts once. Kinds: email, phone, id_number, address, name.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ BEGIN, INSIDE = {k: 1 + 2 * i for i, k in enumerate(KINDS)}, {k: 2 + 2 * i for i
 _TOKEN = re.compile(r"\x00|[^\S\n]*(?:[^\W\d_]+|\d+|\n|[^\w\s\x00]|_)")
 _OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
 _NEAR = (-1, 0, 1)
-#: People of the roster that are used as gazetteer; more than this many are not brought to the driver.
+#: People of the roster, chosen by hash, that the gazetteer is made of.
 MAX_ROSTER = 200_000
 
 
@@ -358,13 +359,11 @@ def _fit_cached(roster: tuple[tuple[str, str], ...]) -> Tagger:
 
 
 def train(roster: DataFrame | None) -> Tagger:
-    """The tagger, with the known persons as gazetteer (bounded: the roster is a small table, and checked to be)."""
+    """The tagger, with up to `MAX_ROSTER` of the known persons as gazetteer; other names are found by shape and context."""
     people: list[tuple[str, str]] = []
     if roster is not None:
-        rows = roster.select("given_name", "family_name").where("given_name IS NOT NULL AND family_name IS NOT NULL").distinct().limit(MAX_ROSTER + 1).collect()
-        if len(rows) > MAX_ROSTER:
-            raise ValueError(f"the roster has more than {MAX_ROSTER} people")
-        people = sorted((r[0], r[1]) for r in rows)
+        known = roster.select("given_name", "family_name").where("given_name IS NOT NULL AND family_name IS NOT NULL").distinct()
+        people = sorted((r[0], r[1]) for r in known.orderBy(F.xxhash64("given_name", "family_name"), "given_name", "family_name").limit(MAX_ROSTER).collect())
     return _fit_cached(tuple(people))
 
 
@@ -422,24 +421,45 @@ def sensitivity(stated: str | None, kinds: set[str]) -> str:
     return "personal" if kinds or s == "personal" else "internal"
 
 
-_QUOTES = "array<struct<quote:string>>"
+def quotes_of(raw: list[str | None]) -> tuple[list, list[tuple[int, dict | None]], list[str]]:
+    """The lists of evidence texts (None where unreadable), and all their quotes with the row and item they are from; an unreadable text is one quote of no item."""
+    parsed, where, texts = [], [], []
+    for i, r in enumerate(raw):
+        try:
+            v = json.loads(r) if r else None
+        except (ValueError, RecursionError):
+            v = None
+        parsed.append(v if isinstance(v, list) else None)
+        if isinstance(v, list):
+            for x in v:
+                if isinstance(x, dict) and isinstance(x.get("quote"), str):
+                    where.append((i, x))
+                    texts.append(x["quote"])
+        elif r:
+            where.append((i, None))
+            texts.append(r)
+    return parsed, where, texts
 
 
 def found(turns: DataFrame, records: DataFrame, model: Tagger) -> DataFrame:
     """(src_table, row_id, kind), each kind of a row once. One pass of Arrow batches over each table."""
-    src = turns.where("turn_id IS NOT NULL AND text IS NOT NULL").select(F.lit("turns").alias("t"), F.col("turn_id").alias("rid"), "text")
-    quotes = F.from_json("evidence_json", _QUOTES)["quote"]
-    rec = records.where("record_id IS NOT NULL").select(F.lit("records").alias("t"), F.col("record_id").alias("rid"), F.array_join(quotes, "\n\n").alias("text")).where("text <> ''")
 
-    def run(it):
+    def run(it, evidence: bool):
         cache: dict = {}
         for b in batches(it):
-            spans = mentions(model, b.column(2).to_pylist(), cache)
-            pairs = [(i, k) for i, s in enumerate(spans) for k in sorted({k for *_, k in s})]
+            texts = b.column(1).to_pylist()
+            rows = range(len(texts))
+            if evidence:
+                _, where, texts = quotes_of(texts)
+                rows = [i for i, _ in where]
+            pairs = sorted({(i, k) for i, s in zip(rows, mentions(model, texts, cache)) for *_, k in s})
             at = pa.array([i for i, _ in pairs], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([k for _, k in pairs], pa.string())], names=["src_table", "row_id", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(["records" if evidence else "turns"] * len(pairs), pa.string()), b.column(0).take(at), pa.array([k for _, k in pairs], pa.string())], names=["src_table", "row_id", "kind"])
 
-    return src.unionByName(rec).mapInArrow(run, "src_table string, row_id string, kind string").distinct()
+    schema = "src_table string, row_id string, kind string"
+    a = turns.where("turn_id IS NOT NULL AND text IS NOT NULL").select("turn_id", "text").mapInArrow(lambda it: run(it, False), schema)
+    b = records.where("record_id IS NOT NULL AND evidence_json IS NOT NULL").select("record_id", "evidence_json").mapInArrow(lambda it: run(it, True), schema)
+    return a.unionByName(b).distinct()
 
 
 def masked_turns(turns: DataFrame, model: Tagger) -> DataFrame:
@@ -462,30 +482,14 @@ def masked_turns(turns: DataFrame, model: Tagger) -> DataFrame:
 
 def masked_records(records: DataFrame, model: Tagger) -> DataFrame:
     """(record_id, evidence_json, kinds, sensitivity) of each record, once; the JSON keeps its items, with quotes masked."""
-    import json
-
     src = records.where("record_id IS NOT NULL").dropDuplicates(["record_id"]).select("record_id", "evidence_json", "sensitivity")
 
     def run(it):
         cache: dict = {}
         for b in batches(it):
-            raw, parsed, texts, where = b.column(1).to_pylist(), [], [], []
-            for i, r in enumerate(raw):
-                try:
-                    v = json.loads(r) if r else None
-                except ValueError:
-                    v = None
-                ok = isinstance(v, list)
-                parsed.append(v if ok else None)
-                items = [(x, "quote") for x in v if isinstance(x, dict) and isinstance(x.get("quote"), str)] if ok else []
-                for x, k in items:
-                    where.append((i, x))
-                    texts.append(x[k])
-                if not ok and r:
-                    where.append((i, None))
-                    texts.append(r)
-            kinds: list[set[str]] = [set() for _ in raw]
-            out = list(raw)
+            out = b.column(1).to_pylist()
+            parsed, where, texts = quotes_of(out)
+            kinds: list[set[str]] = [set() for _ in out]
             for (i, x), t, s in zip(where, texts, mentions(model, texts, cache)):
                 kinds[i] |= {k for *_, k in s}
                 if x is None:

@@ -1,7 +1,9 @@
 """The training-data operators on small rows, against brute force and planted cases."""
 
 import json
+import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.llm import conversations, formatting_dups, fusion, mixing, packing, pii, residue, stuffing, tokens
-from loomline.llm.pii_table import KINDS, labelled_table
+from loomline.llm.pii_table import FAMILIES, KINDS, labelled_table
 from loomline.llm.vectors import tokenize
 
 # --- 1: formatting duplicates ------------------------------------------------------
@@ -60,15 +62,35 @@ def tagger():
     return pii.fit([("Brianka", "Wendmark"), ("Talessa", "Ostwick")])
 
 
-def test_held_out_rows(tagger):
-    """Rows of the table made with another seed, whose names, numbers and pairings the tagger hasn't seen."""
-    rows = labelled_table([], seed=99, with_mention=2, without=2)
+def rates(model, rows):
     texts = ["".join(t for t, _ in row) for row in rows]
     hit = miss = extra = 0
-    for row, spans in zip(rows, pii.mentions(tagger, texts, {})):
+    for row, spans in zip(rows, pii.mentions(model, texts, {})):
         want, got = {k for _, k in row if k}, {k for *_, k in spans}
         hit, miss, extra = hit + len(want & got), miss + len(want - got), extra + len(got - want)
-    assert hit / (hit + miss) > 0.95 and hit / (hit + extra) > 0.95
+    return hit / (hit + miss), hit / (hit + extra)
+
+
+def test_held_out_rows(tagger):
+    """Rows of the table made with another seed, whose names, numbers and pairings the tagger hasn't seen."""
+    assert min(rates(tagger, labelled_table([], seed=99, with_mention=2, without=2))) > 0.95
+
+
+def test_held_out_families():
+    """Families of sentences that took no part in the fit, with persons no roster names."""
+    out = ["places", "mails", "trailers", "joining"]
+    model = pii.fit([("Brianka", "Wendmark"), ("Talessa", "Ostwick")], rows=labelled_table([("Brianka", "Wendmark")], families=[f for f in FAMILIES if f not in out], with_mention=8))
+    recall, precision = rates(model, labelled_table([], seed=99, with_mention=4, without=4, families=out))
+    assert recall > 0.85 and precision > 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_labelled_table_is_not_taken_from_the_test_tables():
+    import duckdb
+
+    texts = "\n".join(t for t, in duckdb.sql("SELECT DISTINCT text FROM '/root/testdata/sf0.001/turns.parquet' WHERE text IS NOT NULL").fetchall())
+    stretches = [max(re.split(r"\{+\w*\}+", s.replace("\\n", "\n")), key=len).strip() for rows in FAMILIES.values() for s in rows.strip().split("\n")]
+    assert not [x for x in stretches if len(x) > 16 and x in texts]
 
 
 def test_pruning_changes_no_label(tagger):
@@ -84,17 +106,17 @@ def test_pruning_changes_no_label(tagger):
 
 
 def test_masking_keeps_the_rest(tagger):
-    text = "Ask Brianka Wendmark before you deploy. Strip SSN 969-42-4848 from the fixture."
+    text = "Ask Brianka Wendmark before you ship it. Take SSN 969-42-4848 out of the sample."
     spans = pii.mentions(tagger, [text], {})[0]
-    assert pii.mask(text, spans) == "Ask [NAME] before you deploy. Strip [ID_NUMBER] from the fixture."
+    assert pii.mask(text, spans) == "Ask [NAME] before you ship it. Take [ID_NUMBER] out of the sample."
     assert [pii.mentions(tagger, [t], {})[0] for t in (None, "", "Bump parser-kit@0.4.15 and rerun.", "Version 6.165.05 broke the cache.")] == [[], [], [], []]
 
 
 def test_found_and_masked_tables(spark, tagger):
     turns = spark.createDataFrame([("t1", "Reply-To: brianka.wendmark@example.org", "x"), ("t1", "Reply-To: brianka.wendmark@example.org", "x"), ("t2", None, "x"), (None, "a@b.org", "x"), ("t3", "nothing here", "x")], "turn_id string, text string, kind string")
     good = json.dumps([{"turn_id": "t1", "quote": "My number is +49 30 23125 776, call after five."}, {"turn_id": "t1"}])
-    records = spark.createDataFrame([("r1", good, "internal"), ("r2", "broken [", None), ("r3", None, "SECRET")], "record_id string, evidence_json string, sensitivity string")
-    assert sorted(tuple(r) for r in pii.found(turns, records, tagger).collect()) == [("records", "r1", "phone"), ("turns", "t1", "email")]
+    records = spark.createDataFrame([("r1", good, "internal"), ("r2", "broken [", None), ("r3", None, "SECRET"), ("r4", '[{"quote": "write to brianka.wendmark@example.org to', None), ("r5", '["x", {"quote": "write to a.wendmark@example.org today"}]', None)], "record_id string, evidence_json string, sensitivity string")
+    assert sorted(tuple(r) for r in pii.found(turns, records, tagger).collect()) == [("records", "r1", "phone"), ("records", "r4", "email"), ("records", "r5", "email"), ("turns", "t1", "email")]
     out = {r.record_id: r for r in pii.masked_records(records, tagger).collect()}
     assert "[PHONE]" in out["r1"].evidence_json and out["r1"].sensitivity == "personal" and out["r2"].evidence_json == "broken [" and out["r3"].sensitivity == "secret"
     rows = {r.turn_id: r for r in pii.masked_turns(turns, tagger).collect()}
@@ -127,11 +149,14 @@ def test_merge_of_fragments():
     assert conversations.merge_paths([[1, 2, 3, 4], [3, 4, 5], [5, 6], [2, 3]]) == [[1, 2, 3, 4, 5, 6]]
     assert len(conversations.merge_paths([[1, 2], [3, 4]])) == 2
     assert len(conversations.merge_paths([[1, 2], [2, 3], [2, 4]])) > 1
-    assert conversations.fragments_of([1, 2, 3, 4], [1, 2, 1, 3]) == [[1, 2], [2, 3, 4], [4], [4]]
+    assert conversations.fragments_of([[1], [2, 2], [3, 3, 3], [4], [5, 5]]) == [[1, 2, 3, 4, 5], [2, 3], [5], [3]]
     for seed in range(20):
         r = random.Random(seed)
-        times = [r.choice([1, 1, 1, 2, 3]) for _ in range(30)]
-        assert conversations.merge_paths(conversations.fragments_of(list(range(30)), times)) == [list(range(30))]
+        told = [[k] * r.choice([1, 1, 1, 2, 3]) for k in range(30)]
+        assert conversations.merge_paths(conversations.fragments_of(told)) == [list(range(30))]
+        k = r.choice([i for i, d in enumerate(told) if len(d) > 1])
+        told[k][1] = 99  # delivered again with another content: the fragments don't overlap there
+        assert conversations.merge_paths(conversations.fragments_of(told)) != [list(range(30))]
 
 
 def plain_verdict(rows):
@@ -203,6 +228,10 @@ def cie(spark, rows):
     return spark.createDataFrame([tuple(r[c] for c in cols) for r in full], ", ".join(f"{c} {'int' if c == 'occurrence_count' else 'string'}" for c in cols))
 
 
+def fused(df):
+    return formatting_dups.grouped(formatting_dups.keyed(fusion.prepared(df), F.lit("cie_records"), "record_id", "statement", *fusion.CARRIED)).drop("src").cache()
+
+
 def test_fuse(spark):
     rows = [
         {"record_id": "b", "statement": "Same text", "source_reliability": " a", "confidence_basis": "n/a", "last_seen": "2025-05-01 00:00:00", "created_at": "2025-01-02 00:00:00", "occurrence_count": 3, "actor": "user", "unit": "turn"},
@@ -211,13 +240,94 @@ def test_fuse(spark):
         {"record_id": "d", "statement": "other", "source_reliability": None}, {"record_id": "e", "statement": None},
     ]
     df = cie(spark, rows)
-    keys = lambda d: formatting_dups.grouped(formatting_dups.keyed(d, F.lit("cie_records"), "record_id", "statement"))
-    survivors, won = fusion.fuse(df, keys(df))
+    survivors, won = fusion.survivors(fused(df), df), fusion.field_winners(fused(df))
     assert sorted(tuple(r) for r in won.collect()) == [("a", "confidence_basis", "a"), ("a", "created_at", "c"), ("a", "last_seen", "a"), ("a", "statement", "b")]
     s = survivors.collect()
     assert len(s) == 1 and s[0].occurrence_count == 5 and s[0].actor == "user" and s[0].unit == "turn" and s[0].codebook_code is None and s[0].last_seen.startswith("2025-06-01T")
-    none = fusion.fuse(df.limit(0), keys(df.limit(0)))
-    assert none[0].count() == 0 and none[1].count() == 0
+    assert fusion.survivors(fused(df.limit(0)), df).count() == 0 and fusion.field_winners(fused(df.limit(0))).count() == 0
+
+
+def plain_fusion(rows, acc, rounds=3):
+    """The estimate and its posteriors in plain loops: groups of (field, value, source)."""
+    n = 1 + max(s for g in rows.values() for _, _, s in g)
+    items = defaultdict(lambda: defaultdict(set))
+    claims_ = Counter()
+    for g, cs in rows.items():
+        for f, v, s in cs:
+            items[g, f][v].add(s)
+            claims_[g, f] += 1
+    trust = fusion.Trust(n, [0] * n)
+    trust.acc = acc.copy()
+
+    def posterior(vals):
+        odds, ind = trust.log_odds(), trust.indep()
+        score = {v: sum(odds[s] * np.prod([max(ind[s, t], 1e-6) for t in ss]) for s in ss) for v, ss in vals.items()}
+        top = max(score.values())
+        z = sum(np.exp(x - top) for x in score.values())
+        return {v: np.exp(x - top) / z for v, x in score.items()}
+
+    for _ in range(rounds):
+        total, right = np.zeros(n), np.zeros(n)
+        m = np.zeros((3, n, n))
+        for key, vals in items.items():
+            if claims_[key] < 2:
+                continue
+            p = posterior(vals)
+            st, sf, both = np.zeros((n, n)), np.zeros((n, n)), set()
+            for v, ss in vals.items():
+                both |= ss
+                for a in ss:
+                    total[a] += 1
+                    right[a] += p[v]
+                    for b in ss:
+                        st[a, b] += p[v]
+                        sf[a, b] += 1 - p[v]
+            m[0] += st
+            m[1] += sf
+            for a in both:
+                for b in both:
+                    m[2][a, b] += 1
+        m[2] = np.maximum(m[2] - m[0] - m[1], 0)
+        trust.update(np.concatenate([total, right, m.ravel()]))
+    return {k: posterior(vals) for k, vals in items.items()}
+
+
+def test_posteriors_against_plain_loops(spark):
+    """Some hundred groups with a good source, a poor one and its copier."""
+    r = random.Random(6)
+    names = [("good", "A"), ("poor", "B"), ("copy", "B")]
+    rows, told = [], {}
+    for g in range(300):
+        truth, claims_ = f"u{r.randint(0, 3)}", []
+        poor = truth if r.random() < 0.4 else f"u{r.randint(4, 7)}"
+        for s, (ev, grade) in enumerate(names):
+            v = (truth if r.random() < 0.9 else f"u{r.randint(4, 7)}") if s == 0 else poor if s == 1 or r.random() < 0.9 else truth
+            rows.append({"record_id": f"r{g:03d}-{s}", "statement": f"finding {g}", "source_reliability": grade, "extractor_version": ev, "unit": v})
+            claims_.append((0, v, {"copy": 0, "good": 1, "poor": 2}[ev]))
+        told[f"r{g:03d}-0"] = claims_
+    df = cie(spark, rows)
+    got = {x.group_id: (x.unit, x.p_unit) for x in fusion.survivors(fused(df), df).collect()}
+    want = plain_fusion(told, fusion.Trust(3 + 7, [1, 0, 1, *range(7)]).acc[:3])
+    for g in told:
+        p = want[g, 0]
+        best = min(p, key=lambda v: (-round(p[v], 9), v))
+        assert got[g][0] == best and abs(got[g][1] - p[best]) < 2e-3
+
+
+def test_votes_overturn_a_weak_preference_only(spark):
+    base = {"last_seen": "2025-05-01 00:00:00", "unit": "turn"}
+    rows = [{"record_id": f"x{g}{i}", "statement": f"Finding {g}", "source_reliability": "B", "extractor_version": f"v{i % 5}", "confidence_basis": "heard twice", **base} for g in range(40) for i in range(5)]
+    rows += [{**rows[0], "record_id": "x09", "extractor_version": "v9", "confidence_basis": "seen once", "last_seen": "2025-05-01 00:00:01"}]
+    df = cie(spark, rows)
+    basis = lambda strength: {x.record_id for x in fusion.field_winners(fused(df), strength).collect() if x.group_id == "x00" and x.field_name == "confidence_basis"}
+    assert basis(None) == {"x09"} and basis(1e-9) == {"x00"} and basis(1.0) == {"x09"}
+
+
+def test_rare_sources_are_pooled(spark):
+    rows = spark.createDataFrame([(f"e{i % 7}", i % 3) for i in range(70)], "ev string, rank int")
+    src = fusion.sources_of(rows, most=4)
+    got = {r.s for r in fusion.numbered(rows, src).collect()}
+    assert len(src.ranks) == 4 + 7 and got == {0, 1, 2, 3, 4, 5, 6} and fusion.numbered(rows, src).count() == 70
 
 
 def test_copiers_are_discounted():
@@ -234,8 +344,9 @@ def test_copiers_are_discounted():
 
 def test_sizes_of_whole_texts():
     enc = tokens.encoding()
-    long = "word of text. " * 9000 + "x" * 50
-    assert tokens.count_tokens(long, enc) == len(enc.encode_ordinary(long))
+    for c in ("=", "-", "abc", "字", "7", " ", "word of text. "):
+        long = c * (40_001 // len(c) + 1)
+        assert tokens.count_tokens(long, enc) == len(enc.encode_ordinary(long))
 
 
 @pytest.mark.parametrize("rule", ["norm", "dot"])
@@ -268,6 +379,32 @@ def test_best_fit_never_opens_early():
     assert len(set(cost.tolist())) == 10
 
 
+def test_costly_documents_stay_alone():
+    sizes = np.array([90, 85, 60, 40, 10, 10, 10])
+    box = packing.best_fit(sizes, 100)  # 90 tokens cost 0.81 of a full length, beyond the share of 0.75
+    assert (box == box[0]).sum() == 1 and sum(sizes[box == box[1]]) == 95 and box[2] == box[3]
+    free = packing.best_fit(sizes, 100, max_cost=1e9)
+    assert (free == free[0]).sum() == 2
+
+
+def test_containers_do_not_depend_on_the_layout(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, " ".join(["alpha"] * r.randint(1, 90))) for i in range(900)], "doc_id long, text string")
+    rows = lambda d: sorted(map(tuple, packing.pack(d, 100, shard_documents=200).collect()))
+    first = rows(df)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        assert rows(df.repartition(9)) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert packing.checks(packing.pack(df, 100), df, 100).first().asDict() == {"documents": 900, "packed": 900, "split": 0, "cut": 0, "torn": 0, "overfull": 0, "tight": True}
+    spoilt = packing.pack(df, 100).withColumn("container_id", F.lit("one"))
+    assert packing.checks(spoilt, df, 100).first()["overfull"] == 1
+    alone = packing.pack(df, 100).withColumn("container_id", F.col("doc_id").cast("string"))
+    assert not packing.checks(alone, df, 100).first()["tight"]
+
+
 @pytest.mark.parametrize(("rate", "cap"), [(0.3, 1), (0.95, 1), (1.9, 4), (0.5, 100), (3.99, 4), (900.0, 2000)])
 def test_poisson_mean_after_the_cut(rate, cap):
     _, steps = mixing.poisson_table(rate, cap)
@@ -291,6 +428,10 @@ def test_mix(spark):
     assert len({(r.doc_id, r.copy) for r in rows}) == len(rows) and max(Counter(r.doc_id for r in rows).values()) <= 4
     assert sorted(tuple(r) for r in mixing.mix(df.repartition(7), targets)[0].collect()) == sorted(tuple(r) for r in rows)
     assert mixing.mix(df.limit(0), targets)[0].count() == 0
+    sizes = mixing.sizes_of(df)
+    held = lambda sel: [tuple(r)[1:] for r in mixing.checks(sel, sizes, targets).collect()]
+    assert held(selection) == [(True, True, True)] * 4
+    assert (True, False, True) in held(selection.where("copy = 1")) and (False, False, False) in held(selection.unionByName(selection).unionByName(selection))
 
 
 # --- 8: stuffed pages -------------------------------------------------------------------------------------
@@ -346,11 +487,26 @@ def test_repetition_counts_on_pages_of_any_length(spark):
 
 
 def test_groups_compare_canonical_forms(spark):
-    keys = [("x", "a", "p1", "r", "0123456789abcdef one"), ("x", "b", "p2", "r", "0123456789abcdef two"), ("x", "c", "p3", "r", "0123456789abcdef one")]
-    got = formatting_dups.grouped(spark.createDataFrame(keys, "src string, rid string, plain string, root string, canon string"))
+    """A forced clash of digests: one root, two structures."""
+    keys = [("x", "a", b"p1", b"r", "form one"), ("x", "b", b"p2", b"r", "form two"), ("x", "c", b"p3", b"r", "form one"), ("x", "d", b"p4", b"s", "form one")]
+    got = formatting_dups.grouped(spark.createDataFrame(keys, "src string, rid string, plain binary, root binary, canon string"))
     assert [tuple(r) for r in formatting_dups.copies(got).collect()] == [("x", "a", "c")]
 
 
+def test_field_names_of_any_length(spark):
+    long = "a name of a field that has far more than four words and goes on for more than sixty characters in all"
+    g = groups_of(spark, [("r1", f"{long}: 1; other: 2", 1, None), ("r2", f"Other = 2 | {long.upper()} = 1", 1, None), ("r3", f"other: 1; {long}: 2", 1, None)])
+    assert [tuple(r) for r in formatting_dups.copies(g).collect()] == [("x", "r1", "r2")]
+
+
+def test_components_of_chains(spark):
+    n = 200
+    edges = [("x", f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(n) if i != 77]
+    random.Random(1).shuffle(edges)
+    got = {bytes(r.node): bytes(r.label) for r in formatting_dups._components(spark.createDataFrame(edges, "src string, a binary, b binary")).collect()}
+    assert all(got[f"{i:04d}".encode()] == (b"0000" if i <= 77 else b"0078") for i in range(1, n + 1) if i != 78)
+
+
 def test_threshold_moves_gradually_with_the_number_of_segments(spark):
     hist = lambda n: [n if i == 20 else 0 for i in range(32)]
     at = [stuffing.calibrate(spark.createDataFrame([(0, hist(n))], "lang int, hist array<int>"))[0] for n in (0, 50, 100, 199, 200, 400, 100_000)]
