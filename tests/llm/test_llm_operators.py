@@ -454,15 +454,15 @@ def test_stuffed_pages(spark):
 
 
 def test_brackets_of_one_page_leave_the_others_alone():
-    cited = "The table was moved because the reader asked for it (https://a.example/x). " * 6
+    cited = "".join(f"The {w} was moved because the reader asked for it (https://a.example/x). " for w in ("table", "chair", "lamp", "door", "bench", "shelf"))
     linked = "- [red lamp]. [blue lamp](https://a.example/y)\n- [green lamp [old]](<https://a.example/z> \"a lamp\")\n" * 6
-    alone = [stuffing.measure([t])["share"] for t in (cited, linked)]
-    assert not alone[0].any() and (alone[1] > 0.5).all()
+    default = np.array([list(stuffing.DEFAULTS.values())])
+    shares = lambda ts: stuffing.shares_of(stuffing.measure(ts)["segments"], default[[0] * len(ts)])
+    alone = [shares([t])[0] for t in (cited, linked)]
+    assert alone[0] == 0 and alone[1] > 0.5
     for before in ("A list [that is never closed.", "A list that ] ends ] twice.", "[[[", None):
-        got = stuffing.measure([before, cited, linked])["share"][1:]
-        assert (got == np.vstack(alone)).all()
-    open_first = stuffing.measure(["Notes [as of today: " + cited, "[1] " + cited])["share"]
-    assert not open_first.any()
+        assert shares([before, cited, linked])[1:].tolist() == alone
+    assert not shares(["Notes [as of today: " + cited, "[1] " + cited]).any()
 
 
 def test_repetition_counts_on_pages_of_any_length(spark):
@@ -507,9 +507,28 @@ def test_components_of_chains(spark):
     assert all(got[f"{i:04d}".encode()] == (b"0000" if i <= 77 else b"0078") for i in range(1, n + 1) if i != 78)
 
 
-def test_threshold_moves_gradually_with_the_number_of_segments(spark):
-    hist = lambda n: [n if i == 20 else 0 for i in range(32)]
-    at = [stuffing.calibrate(spark.createDataFrame([(0, hist(n))], "lang int, hist array<int>"))[0] for n in (0, 50, 100, 199, 200, 400, 100_000)]
-    grid = [stuffing.GRID[i] for i in at]
-    assert grid[0] == stuffing.DEFAULT_THRESHOLD and grid[-1] == 0.2 and grid == sorted(grid)
-    assert grid[2] > grid[0] and grid[3] == grid[4] < grid[-1]
+def test_thresholds_move_gradually_with_the_number_of_segments():
+    def at(n, name, bin_):
+        h = np.zeros((1, len(stuffing.MEASURES), stuffing._BINS))
+        h[0, stuffing.MEASURES.index("rep" if name == "listed" else name), bin_] = n
+        return stuffing.thresholds(h)[0][list(stuffing.DEFAULTS).index(name)]
+
+    for name, (lo, hi) in stuffing.LIMITS.items():
+        for bin_ in (1, 63):
+            grid = [at(n, name, bin_) for n in (0, 50, 200, 100_000)]
+            assert grid[0] == stuffing.DEFAULTS[name] and grid in (sorted(grid), sorted(grid, reverse=True))
+            assert lo <= grid[-1] <= hi
+
+
+def test_phrases_are_caught_by_n_grams():
+    """Words that are common by themselves, in phrases that come again and again in another order; no other rule catches the page."""
+    r = random.Random(3)
+    phrases = ["garden lamp offers", "solar panel rebate", "copper wire bargain", "winter coat outlet", "leather boots discount", "kitchen table clearance", "summer tent voucher", "mountain bike coupon", "wooden desk markdown", "cotton shirt rebate"]
+    page = ".\n".join(f"{a} and {b} with {c} for you" for a, b, c in (r.sample(phrases, 3) for _ in range(14)))
+    default = np.array([list(stuffing.DEFAULTS.values())])
+    m = stuffing.measure([page])
+    with_grams = default.copy()
+    with_grams[0, list(stuffing.DEFAULTS).index("fw")] = 0.16
+    without = with_grams.copy()
+    without[0, list(stuffing.DEFAULTS).index("gram")] = 1.02
+    assert stuffing.shares_of(m["segments"], with_grams)[0] > 0.5 > stuffing.shares_of(m["segments"], without)[0]
