@@ -55,6 +55,11 @@ def p3_clean_turns(spark: SparkSession, root: str) -> DataFrame:
     return residue.clean(table(spark, root, "turns"))
 
 
+def p3_validation(spark: SparkSession, root: str) -> DataFrame:
+    """Precision and recall of the classifier on sessions it hasn't seen."""
+    return residue.validation(table(spark, root, "turns"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Sessions that must be dropped."""
     return conversations.verdicts(table(spark, root, "messages")).where("reason IS NOT NULL").select("session_id")
@@ -134,7 +139,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_collapsed, p2_found, p2_masked_turns, p2_masked_records, p3_found, p3_clean_turns, p4_found, p4_conversations,
+        p1_found, p1_collapsed, p2_found, p2_masked_turns, p2_masked_records, p3_found, p3_clean_turns, p3_validation, p4_found, p4_conversations,
         p5_found, p5_survivors, p6_found, p6_packed, p6_containers, p6_checks, p7_found, p7_shares, p7_selection, p7_checks, p8_found,
     )
     return {f.__name__: f for f in own}

@@ -140,6 +140,26 @@ def test_residue(spark):
     assert model.held_out["recall"] > 0.9 and model.held_out["precision"] > 0.9
     assert residue.clean(df, model).count() == df.select("turn_id").distinct().count() - len(got)
     assert residue.residue(df.limit(0)).count() == 0
+    assert residue.validation(df, model).first()["precision"] > 0.9
+
+
+def test_titles_are_learned():
+    """Slot-like and plain names that are neither in the seeds nor matched by the patterns of the weak labels."""
+    titles = [*[(t, 1) for t in residue.TITLES_POSITIVE], *[(t, 0) for t in residue.TITLES_NEGATIVE]]
+    model = residue.Model(residue.fit(residue.SEEDS_POSITIVE + residue.SEEDS_NEGATIVE, [1] * len(residue.SEEDS_POSITIVE) + [0] * len(residue.SEEDS_NEGATIVE)), residue.fit(*zip(*titles), title=True))
+    slots = ["{{ helper }}", "<agent_name>", "${HELPER}", "@@HELPER@@", "[[helper]]", "MY_TOOL_HERE"]
+    plain = ["compile", "write_table", "web_fetch", "list-files", "calendar.read", "diff"]
+    score = model.score(["The parser was moved and the review is done."] * 12, slots + plain)
+    assert (score[:6] >= 0.5).sum() >= 5 and (score[6:] < 0.5).all()
+    assert model.score([None, "", "x"], [None, "", None]).tolist()[:2] == [0.0, 0.0]
+
+
+def test_a_model_that_fails_is_refused(spark):
+    model = residue.Model((np.zeros(residue.DIMENSIONS), 0.0), (np.zeros(residue.DIMENSIONS), 0.0), held_out={"rows": 500, "positive": 60, "precision": 0.5, "recall": 0.99})
+    turns = spark.createDataFrame([("t", "s", "x", None)], "turn_id string, session_id string, text string, tool_name string")
+    with pytest.raises(ValueError, match="fails on unseen"):
+        residue.residue(turns, model)
+    assert residue.Model(model.text, model.title, held_out={**model.held_out, "positive": 3}).check()
 
 
 # --- 4: conversations -------------------------------------------------------------------------
