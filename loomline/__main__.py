@@ -1,56 +1,78 @@
-"""Command line: ingest, extract, mine, report, rekey, status."""
+"""Command line over a table store."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import sys
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from loomline.operators import register, reports, signals
-from loomline.plans import cycle, model
+from loomline.operators import register, reports
+from loomline.plans import benchmark, cycle, extract, model
+from loomline.sources import transcripts
 from loomline.sources.store import TableStore
-from loomline.sources.transcripts import state_store
 from loomline.streaming import ingest
 
+#: Options of each command, as (name, keyword arguments of the parser).
+COMMANDS = {
+    "ingest": [("inbox", {}), ("--checkpoint", {"required": True})],
+    "ingest-state": [("state", {}), ("--limit", {"type": int, "default": 20})],
+    "extract": [("--full-corpus", {"action": "store_true"}), ("--stale-minutes", {"type": int, "default": 30})],
+    "mine": [("state", {}), ("--adapter", {"default": "rules"}), ("--version", {"default": "v1"}), ("--limit", {"type": int, "default": 20}), ("--max-calls", {"type": int}), ("--max-usd", {"type": float}), ("--trace", {}), ("--report", {})],
+    "report": [("--pilot", {"action": "store_true"}), ("--top", {"type": int, "default": 20})],
+    "rekey": [], "purge": [], "status": [], "retry-failed": [], "approve": [("--by", {"required": True}), ("--notes", {"default": ""})],
+    "benchmark": [("data", {}), ("--adapter", {"default": "rules"}), ("--runs", {"type": int, "default": 3}), ("--threshold", {"type": float})],
+}
+
+
+def _state(spark: SparkSession, folder: str):
+    return transcripts.state_store(spark.read.parquet(f"{folder}/sessions.parquet"), spark.read.parquet(f"{folder}/messages.parquet"))
+
 
 def main(argv: list[str] | None = None) -> int:
-    p = argparse.ArgumentParser(prog="loomline")
-    p.add_argument("--store", required=True)
-    sub = p.add_subparsers(dest="command", required=True)
-    a = sub.add_parser("ingest")
-    a.add_argument("inbox")
-    a.add_argument("--checkpoint", required=True)
-    sub.add_parser("extract")
-    a = sub.add_parser("mine")
-    a.add_argument("state")
-    a.add_argument("--adapter", default="rules")
-    a.add_argument("--version", default="v1")
-    a.add_argument("--limit", type=int, default=20)
-    a.add_argument("--max-calls", type=int)
-    a = sub.add_parser("report")
-    a.add_argument("--top", type=int, default=20)
-    sub.add_parser("status")
-    o = p.parse_args(argv)
+    parser = argparse.ArgumentParser(prog="loomline")
+    parser.add_argument("--store", required=True)
+    commands = parser.add_subparsers(dest="command", required=True)
+    for name, options in COMMANDS.items():
+        sub = commands.add_parser(name)
+        for option, how in options:
+            sub.add_argument(option, **how)
+    o = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    store = TableStore(spark, o.store)
-    if o.command == "ingest":
-        ingest.start(store, o.inbox, o.checkpoint).awaitTermination()
-    elif o.command == "extract":
-        stored = store.read("records") if store.versions("records") else None
-        fresh = signals.records(signals.capped(signals.candidates(store.read("turns", ingest.TURNS))), stored)
-        store.write("records", fresh if stored is None else stored.unionByName(fresh))
-    elif o.command == "mine":
-        s, m = state_store(spark.read.parquet(f"{o.state}/sessions.parquet"), spark.read.parquet(f"{o.state}/messages.parquet"))
-        now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        print(cycle.mine(store, s, m, model.make_chat(o.adapter), version=o.version, now=now, limit=o.limit, budget=model.Budget(o.max_calls)))
-    elif o.command == "report":
-        r = store.read("register", cycle.REGISTER).withColumn("family", F.lit("all"))
-        t = r.agg(F.count("*").alias("rows"), F.sum("occurrences").alias("occurrences")).first().asDict()
-        print(reports.findings_markdown(reports.top_findings(r, o.top), t))
-    elif o.command == "status":
-        register.progress(store.read("ledger", cycle.LEDGER)).show(truncate=False)
+    store, now = TableStore(spark, o.store), datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    say = lambda x: print(x if isinstance(x, str) else json.dumps(x, indent=1, default=str))
+    match o.command:
+        case "ingest":
+            ingest.start(store, o.inbox, o.checkpoint).awaitTermination()
+        case "ingest-state":
+            say({"sessions": ingest.take_state(store, *_state(spark, o.state), limit=o.limit)})
+        case "extract":
+            try:
+                say(extract.run(store, full_corpus=o.full_corpus, stale_minutes=o.stale_minutes))
+            except extract.NotApproved as e:
+                print(e, file=sys.stderr)
+                return 2
+        case "mine":
+            say(str(cycle.mine(store, *_state(spark, o.state), model.make_chat(o.adapter), version=o.version, now=now, limit=o.limit, budget=model.Budget(o.max_calls, o.max_usd), trace=o.trace, report=o.report)))
+        case "report":
+            say(reports.pilot_markdown(store.read("records", extract.RECORDS)) if o.pilot else cycle.findings_report(store, o.top))
+        case "rekey":
+            say(cycle.rekey(store))
+        case "purge":
+            say(cycle.purge(store))
+        case "approve":
+            extract.approve(store, o.by, o.notes, now)
+        case "retry-failed":
+            extract.retry_failed(store)
+        case "status":
+            say(extract.status(store))
+            register.progress(store.read("ledger", cycle.LEDGER)).show(truncate=False)
+        case "benchmark":
+            got = benchmark.run_candidate(transcripts.benchmark(spark, o.data), model.make_chat(o.adapter), runs=o.runs, threshold=o.threshold)
+            say(reports.scorecard_markdown(got))
+            return 0 if got.get("recall_pass", True) else 1
     return 0
 
 

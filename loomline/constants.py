@@ -22,6 +22,8 @@ DIRECT_ACTORS = ("user", "system")
 
 OUTCOME_CODES = ("intent_stated", "delivery_result", "rework_cause")
 DELIVERY_VALUES = ("landed", "partial", "rework", "failed", "unknown")
+#: Deliveries that can have a cause of rework.
+REWORK_DELIVERIES = ("partial", "rework", "failed")
 CAUSE_VALUES = ("instruction", "agent", "tool", "environment", "none")
 REAL_CAUSES = ("instruction", "agent", "tool", "environment")
 

@@ -54,17 +54,28 @@ def merge(rows: DataFrame) -> DataFrame:
 
 
 def upsert(register: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Register with new records merged in.
+    """Register with new records merged in; every column of the register is kept, from the first record of its key.
 
     A known record id is no new occurrence, so replaying a batch changes nothing; new ids of
-    a known key add their number to it. `fresh` counts one for each distinct id.
+    a known key add their number to it. `fresh` counts one for each distinct id; columns it lacks are null.
     """
     unknown = fresh.dropDuplicates(["record_id"]).join(register.select("record_id"), "record_id", "left_anti").withColumn("occurrences", F.lit(1).cast("long"))
-    cols = ["dedup_key", "record_id", "statement", "occurrences", "first_seen", "last_seen", "created_at"]
-    old = register.withColumn("_old", F.lit(True))
-    both = old.select(*cols, "_old").unionByName(unknown.withColumn("_old", F.lit(False)).select(*cols, "_old"))
-    first = F.min(F.struct((~F.col("_old")).alias("o"), "created_at", "record_id", "statement"))
-    return both.groupBy("dedup_key").agg(first.alias("k"), F.sum("occurrences").alias("occurrences"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).select("dedup_key", F.col("k.record_id").alias("record_id"), F.col("k.statement").alias("statement"), "occurrences", "first_seen", "last_seen", F.col("k.created_at").alias("created_at"))
+    both = register.withColumn("_old", F.lit(True)).unionByName(unknown.withColumn("_old", F.lit(False)).select("_old", *[c for c in register.columns if c in unknown.columns]), allowMissingColumns=True)
+    settled = ("occurrences", "first_seen", "last_seen")
+    rest = [c for c in register.columns if c not in ("dedup_key", "created_at", "record_id", *settled)]
+    first = F.min(F.struct((~F.col("_old")).alias("_o"), "created_at", "record_id", *rest))
+    got = both.groupBy("dedup_key").agg(first.alias("k"), F.sum("occurrences").alias("occurrences"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return got.select(*[F.col(c) if c in ("dedup_key", *settled) else F.col(f"k.{c}").alias(c) for c in register.columns])
+
+
+def rekeyed(register: DataFrame) -> DataFrame:
+    """The stored register under newly made keys: rows whose evidence is the same are one, with all columns of the kept one."""
+    key = dedup_key(F.col("codebook_code"), F.col("evidence")["quote"], F.col("statement"))
+    rows = register.withColumn("dedup_key", key)
+    kept = merge(rows)
+    rest = [c for c in register.columns if c not in ("dedup_key", "record_id", "statement", "occurrences", "first_seen", "last_seen")]
+    whole = kept.drop("n_rows").join(rows.select("record_id", *rest).dropDuplicates(["record_id"]), "record_id")
+    return whole.select(*register.columns)
 
 
 def conservation(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -75,8 +86,8 @@ def conservation(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def purge(rows: DataFrame, first_quote: str = "first_quote") -> tuple[DataFrame, DataFrame]:
-    """(kept rows, removals by notice): rows whose first quote is a platform notice are removed."""
-    marked = rows.withColumn("notice", notice_id(F.col(first_quote)))
+    """(kept rows, removals by notice): rows whose first quote (a column, or that of `evidence`) is a platform notice are removed."""
+    marked = rows.withColumn("notice", notice_id(F.col(first_quote) if first_quote in rows.columns else F.try_element_at("evidence", F.lit(1))["quote"]))
     gone = marked.where("notice IS NOT NULL").groupBy("notice").agg(F.count("*").alias("n_rows"), F.sum(F.coalesce("occurrences", F.lit(1))).cast("long").alias("occurrences"))
     return marked.where("notice IS NULL").drop("notice"), gone
 
@@ -124,6 +135,12 @@ def status_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def completed(queue: DataFrame, sessions: DataFrame, version: str) -> DataFrame:
+    """Work items with those of the sessions and the version completed."""
+    done = sessions.select("session_id").distinct().withColumn("_done", F.lit(True))
+    return queue.join(done, "session_id", "left").withColumn("status", F.when(F.col("_done") & (F.col("extractor_version") == version), "completed").otherwise(F.col("status"))).drop("_done").select(*queue.columns)
+
+
 def approved(approvals: DataFrame, key: str = "pilot_approved") -> bool:
     """Whether the gate is open; a missing row is closed."""
     row = approvals.where(F.col("key") == key).select("value").head()

@@ -45,12 +45,28 @@ def findings_markdown(top: DataFrame, totals: dict[str, int]) -> str:
     return "\n".join(lines) + "\n"
 
 
-def scorecard_markdown(row: dict, usage: dict | None = None) -> str:
-    """Scorecard of one comparison."""
-    out = ["# Scorecard", "", f"gold {row['gold']}, candidates {row['candidates']}, matched {row['matched']}", "", "| metric | value | 95% interval |", "|-|-|-|"]
-    for m in ("recall", "agreement"):
-        out.append(f"| {m} | {row[m]:.3f} | [{row[f'{m}_low']:.3f}, {row[f'{m}_high']:.3f}] |")
-    out.append(f"| f1 | {row['f1']:.3f} | |")
-    if usage:
-        out += ["", *[f"- {k}: {v}" for k, v in usage.items()]]
+def pilot_markdown(records: DataFrame, patterns: int = 20) -> str:
+    """Report of the rule-based records: counts by stream, pattern and sensitivity, and examples of the most frequent patterns. All lists are bounded."""
+    lines = ["# Pilot", "", "| dimension | value | records |", "|-|-|-|"]
+    lines += [f"| {r.dimension} | {r.value} | {r.n} |" for r in pilot_counts(records).orderBy("dimension", F.desc("n"), "value").limit(3 * patterns).collect()]
+    pattern = None
+    first = pilot_examples(records).withColumn("quote", F.try_element_at("evidence", F.lit(1))["quote"])
+    for r in shown_quotes(first).orderBy("stream", "pattern_type", "rank").toLocalIterator():
+        if (r["stream"], r["pattern_type"]) != pattern:
+            pattern = (r["stream"], r["pattern_type"])
+            lines += ["", f"## {pattern[0]}: {pattern[1]}", ""]
+        lines.append(f"- {r['summary']} — {r['shown']}")
+    return "\n".join(lines) + "\n"
+
+
+def scorecard_markdown(result: dict) -> str:
+    """Scorecard of a candidate run (`plans.benchmark.run_candidate`)."""
+    rows = result["runs"].orderBy("run", "level", "bucket").collect()
+    out = ["# Scorecard", "", f"windows of {result['window_params'][0]} tokens, overlap {result['window_params'][1]}", "", "| run | level | bucket | matched | gold | found | recall | 95% interval | agreement | 95% interval | f1 |", "|-|-|-|-|-|-|-|-|-|-|-|"]
+    out += [f"| {r.run} | {r.level} | {r.bucket} | {r.matched} | {r.gold} | {r.candidates} | {r.recall:.3f} | [{r.recall_low:.3f}, {r.recall_high:.3f}] | {r.agreement:.3f} | [{r.agreement_low:.3f}, {r.agreement_high:.3f}] | {r.f1:.3f} |" for r in rows]
+    out += ["", *[f"- mean {m}: {v['mean']:.3f} (deviation {v['sd']:.3f})" for m, v in result["summary"].items()]]
+    out += [f"- run {r.run}: {r.passes} passes, errors {r.error_rate:.3f}, valid JSON {r.valid_json_rate:.3f}" for r in result["transport"].orderBy("run").collect()]
+    if "recall_pass" in result:
+        out.append(f"- recall reaches the threshold: {'yes' if result['recall_pass'] else 'no'}")
+    out += ["", "Agreement is measured against the gold set only, so a finding that is right but not in it counts against it. Intervals are wide for small gold sets.", "Code level matches by session and code; quote level also needs four words in a row."]
     return "\n".join(out) + "\n"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,23 +56,40 @@ def ngrams(text: Column, n: int = 4) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def strict_matches(gold: DataFrame, candidates: DataFrame, n: int = 4, most: int = 50_000) -> DataFrame:
-    """(session_id, code, matched) of ordered first-fit matching on quotes.
+def strict_matches(gold: DataFrame, candidates: DataFrame, n: int = 4) -> DataFrame:
+    """(session_id, code, matched) of ordered first-fit matching on quotes; `ord` orders the records of a key and is unique in it.
 
-    Candidates of a (session, code) in order `ord` take the first unused gold record, by `ord`,
-    that shares a run of `n` words. The rule depends on the order and isn't a maximum
-    matching, so it is a fold over the candidates of one key. Gold sets are labelled by
-    hand; a key with more than `most` of them is an error, not cut.
+    Candidates of a (session, code) in order take the first unused gold record that shares a run of `n` words. The rule
+    depends on the order and isn't a maximum matching. Only pairs that share a run are made, by a join on the runs; a stream over
+    a key's pairs in order keeps the gold records taken so far.
     """
     key = ["session_id", "code"]
-    pack = lambda d, name: d.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", ngrams(F.col("quote"), n).alias("g")))).alias(name))
-    both = pack(gold, "gold").join(pack(candidates, "cand"), key)
-    both = both.withColumn("gold", F.when(F.size("gold") <= most, F.col("gold")).otherwise(F.raise_error(F.lit("too many gold records for one key")).cast(both.schema["gold"].dataType)))
-    used = F.aggregate(
-        "cand", F.array().cast("array<int>"),
-        lambda acc, c: F.concat(acc, F.slice(F.filter(F.sequence(F.lit(1), F.size("gold")), lambda i: ~F.array_contains(acc, i) & F.arrays_overlap(F.element_at("gold", i)["g"], c["g"])), 1, 1)),
-    )
-    return both.select(*key, F.size(used).cast("long").alias("matched"))
+    runs = lambda d, name: d.select(*key, F.col("ord").cast("string").alias(name), F.explode(F.array_distinct(ngrams(F.col("quote"), n))).alias("run"))
+    places = lambda d, name: d.select(*key, F.col("ord").cast("string").alias(name), F.row_number().over(Window.partitionBy(*key).orderBy("ord")).alias(f"{name}_at"))
+    pairs = runs(gold, "g").join(runs(candidates, "c"), [*key, "run"]).select(*key, "c", "g").distinct()
+    pairs = pairs.join(places(gold, "g"), [*key, "g"]).join(places(candidates, "c"), [*key, "c"]).select(*key, "c_at", "g_at")
+
+    def fold(it):
+        at, last, used, n_used = None, None, set(), 0
+        for b in it:
+            out = []
+            for s, code, c, g in zip(*(x.to_pylist() for x in b.columns)):
+                if (s, code) != at:
+                    if at is not None:
+                        out.append((*at, n_used))
+                    at, last, used, n_used = (s, code), None, set(), 0
+                if c != last and g not in used:
+                    used.add(g)
+                    last, n_used = c, n_used + 1
+            yield _matched(out)
+        if at is not None:
+            yield _matched([(*at, n_used)])
+
+    return pairs.repartition(*key).sortWithinPartitions(*key, "c_at", "g_at").mapInArrow(fold, "session_id string, code string, matched long")
+
+
+def _matched(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["session_id", "code", "matched"])
 
 
 def strict_counts(gold: DataFrame, candidates: DataFrame, n: int = 4) -> DataFrame:
@@ -94,6 +112,19 @@ def integrity(evidence: DataFrame, turns: DataFrame) -> DataFrame:
     return j.select(problem.alias("problem")).where("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def totals_differ(totals: dict, tables: dict[str, DataFrame]) -> list[str]:
+    """Names of the tables whose number of rows isn't the one stated in a manifest."""
+    return [name for name, t in tables.items() if totals.get(name) != t.count()]
+
+
+def assert_integrity(evidence: DataFrame, turns: DataFrame, totals: dict | None = None, tables: dict[str, DataFrame] | None = None) -> None:
+    """An error if evidence points to no turn or quotes what isn't there, or if a manifest's totals don't hold."""
+    faults = [f"{r['problem']}: {r['n']}" for r in integrity(evidence, turns).orderBy("problem").collect()]
+    faults += [f"total of {name} differs" for name in (totals_differ(totals, tables or {}) if totals is not None else ())]
+    if faults:
+        raise ValueError("benchmark data are not whole: " + "; ".join(faults))
+
+
 def mean_sd(runs: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean and sample deviation over runs; the deviation of one run is 0."""
     return runs.groupBy(*by).agg(F.count("*").alias("n_runs"), F.round(F.avg(value), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("sd"))

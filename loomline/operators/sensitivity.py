@@ -115,6 +115,11 @@ def masked(c: Column) -> Column:
     )
 
 
-def redact_error(c: Column) -> Column:
-    """Error messages without keys and bearer tokens."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"), r"(?i)(api[_-]?key['\"]?\s*[:=]\s*['\"]?)[^\s'\",;]+", "$1[REDACTED]")
+_KEYS = ((re.compile(r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+"), "Bearer [REDACTED]"), (re.compile(r"(?i)(api[_-]?key['\"]?\s*[:=]\s*['\"]?)[^\s'\",;]+"), r"\1[REDACTED]"), (re.compile("|".join(C.SECRET_PATTERNS[:4])), "[REDACTED]"))
+
+
+def redact_error(message: str) -> str:
+    """An error message without bearer tokens and keys."""
+    for pattern, shown in _KEYS:
+        message = pattern.sub(shown, message)
+    return message

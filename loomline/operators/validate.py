@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomline import constants as C
 from loomline.functions.text import strip
 
-#: Type to which an untrusted record is parsed. Numbers and strings are both read as strings.
+#: Type of evidence lists that are known to be well-formed.
 EVIDENCE = "array<struct<turn_id:string,quote:string>>"
 
 
@@ -26,35 +26,52 @@ def notice_id(quote: Column) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """Integer of a number (cut towards zero) or of a string of digits; null for anything else. `c` is the JSON text of the value."""
+    """Integer of a number (cut towards zero), a string of digits or a truth value; null for anything else. `c` is the JSON text of the value."""
     bare = F.trim(c)
     quoted = F.regexp_extract(bare, r'^"\s*([+-]?\d+)\s*"$', 1)
     number = bare.try_cast("double")
-    return F.when(bare.startswith('"'), quoted.try_cast("int")).otherwise(F.when(number.isNotNull(), number.try_cast("int")))
+    return F.when(bare.startswith('"'), quoted.try_cast("int")).when(bare == "true", 1).when(bare == "false", 0).otherwise(F.when(number.isNotNull(), number.try_cast("int")))
 
 
 def confidence(c: Column) -> Column:
-    """low, medium or high of a name in any case or of a number (from 0.45 medium, from 0.75 high); anything else is low."""
-    low, n = F.lower(c), c.try_cast("double")
-    return F.when(low.isin(*C.CONFIDENCE), low).when(n >= 0.75, "high").when(n >= 0.45, "medium").otherwise("low")
+    """low, medium or high of a name in any case or of a number (from 0.45 medium, from 0.75 high; true is 1); anything else, a number in quotes too, is low.
+
+    `c` is the JSON text of the value.
+    """
+    bare = F.trim(c)
+    name = F.lower(F.regexp_extract(bare, r'^"(.*)"$', 1))
+    n = F.when(bare == "true", F.lit(1.0)).when(~bare.startswith('"'), bare.try_cast("double"))
+    return F.when(name.isin(*C.CONFIDENCE), name).when(n >= 0.75, "high").when(n >= 0.45, "medium").otherwise("low")
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def _member(v: Column, path: str) -> Column:
+    """JSON text of a member, with its quotes if it is a string; null where there is none."""
+    return F.to_json(F.try_variant_get(v, f"$.{path}", "variant"))
 
 
 def payload_records(payloads: DataFrame) -> DataFrame:
     """Candidates of payload texts (window_id, family, payload): one row a record with its position, or one row for a payload that holds no list.
 
-    `shape` is `records_not_list`, `record_not_object`, or null.
+    `shape` is `records_not_list`, `record_not_object`, or null. Members that decide by their type stay JSON text; `evidence` is
+    an array of (object, turn_id, quote), one for each item whatever it is, and null where there is no list.
     """
-    v = F.try_variant_get(F.try_parse_json("payload"), "$.records", "variant")
-    listed = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
-    items = F.when(listed, F.from_json(F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.records", "variant")), "array<string>"))
-    rows = payloads.withColumn("_l", listed).select("window_id", "family", "_l", F.posexplode_outer(items).alias("position", "record"))
-    shape = F.when(~F.col("_l"), "records_not_list").when(F.col("record").isNull() | ~F.trim("record").startswith("{"), "record_not_object")
-    get = lambda k: F.get_json_object("record", f"$.{k}")
-    rows = rows.where("NOT (_l AND position IS NULL)")
+    parsed = payloads.withColumn("_v", F.try_variant_get(F.try_parse_json("payload"), "$.records", "variant")).withColumn("_l", _is(F.col("_v"), "ARRAY"))
+    rows = parsed.select("window_id", "family", "_l", F.posexplode_outer(F.when(F.col("_l"), F.try_variant_get("_v", "$", "array<variant>"))).alias("position", "_r")).where("NOT (_l AND position IS NULL)")
+    r = F.col("_r")
+    text = lambda k: F.when(_is(F.try_variant_get(r, f"$.{k}", "variant"), "STRING"), F.try_variant_get(r, f"$.{k}", "string"))
+    shape = F.when(~F.col("_l"), "records_not_list").when(~_is(r, "OBJECT"), "record_not_object")
+    listed = F.when(_is(F.try_variant_get(r, "$.evidence", "variant"), "ARRAY"), F.try_variant_get(r, "$.evidence", "array<variant>"))
+    quote = lambda x: F.when(_is(F.try_variant_get(x, "$.quote", "variant"), "STRING"), F.try_variant_get(x, "$.quote", "string"))
+    evidence = F.transform(listed, lambda x: F.struct(_is(x, "OBJECT").alias("object"), F.try_variant_get(x, "$.turn_id", "string").alias("turn_id"), quote(x).alias("quote")))
+    rest = {"facets": "{}", "assumptions": "[]", "alternative_interpretations": "[]", "disconfirming_evidence": "[]", "falsifiers": "[]"}
     return rows.select(
-        "window_id", "family", "position", "record", shape.alias("shape"), get("codebook_code").alias("codebook_code"), get("unit").alias("unit"), get("statement").alias("statement"),
-        get("source_reliability").alias("source_reliability"), get("info_credibility").alias("info_credibility"), get("facets.delivery").alias("delivery"), get("facets.cause").alias("cause"),
-        F.from_json(get("evidence"), EVIDENCE).alias("evidence"), get("confidence").alias("confidence"),
+        "window_id", "family", "position", F.to_json(r).alias("record"), shape.alias("shape"), *[text(k).alias(k) for k in ("codebook_code", "unit", "statement", "source_reliability", "actor", "sensitivity")],
+        _member(r, "info_credibility").alias("info_credibility"), text("facets.delivery").alias("delivery"), text("facets.cause").alias("cause"), evidence.alias("evidence"), _member(r, "confidence").alias("confidence"),
+        F.coalesce(text("confidence_basis"), F.lit("")).alias("confidence_basis"), *[F.coalesce(_member(r, k), F.lit(v)).alias(k) for k, v in rest.items()],
     )
 
 
@@ -74,13 +91,13 @@ def resolved_evidence(candidates: DataFrame, surface: DataFrame) -> DataFrame:
 
 
 def reason(
-    *, shape: Column, code: Column, codes: Column, unit: Column, reliability: Column, credibility: Column, n_evidence: Column, n_found: Column, first_quote: Column,
-    statement: Column, quotes: Column, delivery: Column, cause: Column, actors: Column, broken_item: Column | None = None,
+    *, shape: Column, code: Column, codes: Column, unit: Column, reliability: Column, credibility: Column, n_evidence: Column, bad_item: Column, first_quote: Column,
+    statement: Column, quotes: Column, delivery: Column, cause: Column, actors: Column,
 ) -> Column:
     """The first rule that fails, in the order that is part of the contract; null for an accepted record.
 
     `codes` is the array of codes of the pass, `quotes` all quotes as one text, `actors` the
-    actors of the evidence, `n_found` how many of the `n_evidence` items were found.
+    actors of the evidence, `bad_item` what is wrong with the first of the `n_evidence` items that fails.
     """
     no = lambda c: ~F.coalesce(c, F.lit(False))
     number = whole_number(credibility)
@@ -93,12 +110,11 @@ def reason(
         (number.isNull(), F.lit("info_credibility_not_int")),
         (~number.between(1, 6), F.lit("info_credibility_out_of_range")),
         (F.coalesce(n_evidence, F.lit(0)) == 0, F.lit("missing_evidence")),
-        *([(F.coalesce(broken_item, F.lit(False)), F.lit("evidence_not_object"))] if broken_item is not None else []),
-        (F.coalesce(n_found, F.lit(0)) < n_evidence, F.lit("quote_not_found")),
+        (bad_item.isNotNull(), bad_item),
         (notice_id(first_quote).isNotNull(), F.lit("platform_primary_evidence_denied")),
-        ((code == "model_routing") & no(F.concat_ws("\n", statement, quotes).rlike(C.NAMED_ROUTE)), F.lit("model_routing_without_named_route")),
+        ((code == "model_routing") & no(F.concat_ws(" ", statement, quotes).rlike(C.NAMED_ROUTE)), F.lit("model_routing_without_named_route")),
         (outcome & (no(delivery.isin(*C.DELIVERY_VALUES)) | no(cause.isin(*C.CAUSE_VALUES))), F.lit("outcome_facets_invalid")),
-        ((code == "rework_cause") & ~cause.isin(*C.REAL_CAUSES), F.lit("rework_cause_without_real_cause")),
+        ((code == "rework_cause") & ~(delivery.isin(*C.REWORK_DELIVERIES) & cause.isin(*C.REAL_CAUSES)), F.lit("rework_cause_without_real_cause")),
         (((code == "intent_stated") & ~((delivery == "unknown") & (cause == "none"))) | ((code == "delivery_result") & delivery.isin("landed", "unknown") & (cause != "none")), F.lit("outcome_facets_invalid")),
         ((reliability == "A") & no(F.arrays_overlap(actors, F.array(*[F.lit(a) for a in C.DIRECT_ACTORS]))), F.lit("source_reliability_a_without_direct_source")),
     ]
@@ -116,24 +132,20 @@ def validated(payloads: DataFrame, surface: DataFrame, most: int = C.MAX_RECORDS
     cand = payload_records(payloads)
     ev = resolved_evidence(cand, surface)
     key = ["window_id", "family", "position"]
-    got = ev.groupBy(*key).agg(
-        F.count("turn_id").alias("n_found"), F.array_sort(F.collect_list(F.struct("item", "turn_id", "quote", "actor", "cited_turn_id", "rebound", "match_count"))).alias("resolved"),
-    )
+    got = ev.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("item", "turn_id", "quote", "actor", "cited_turn_id", "rebound", "match_count"))).alias("resolved"))
     codes = F.lit(None).cast("array<string>")
     for fam, own in {**C.PASS_CODES, "all": C.ALL_CODES}.items():
         codes = F.when(F.col("family") == fam, F.array(*[F.lit(c) for c in own])).otherwise(codes)
     rows = cand.join(got, key, "left")
+    # items in order: the first that is no object, or whose quote isn't found, names the fault
+    fault = F.transform(F.arrays_zip(F.transform("evidence", lambda e: e["object"]).alias("o"), F.transform("resolved", lambda x: x["turn_id"]).alias("t")), lambda z: F.when(~z["o"], "evidence_not_object").when(z["t"].isNull(), "quote_not_found"))
     why = reason(
-        shape=F.col("shape"), code=F.col("codebook_code"), codes=codes, unit=F.col("unit"), reliability=F.col("source_reliability"), credibility=_raw("info_credibility"), n_evidence=F.coalesce(F.size("evidence"), F.lit(0)),
-        n_found=F.col("n_found"), first_quote=F.try_element_at("resolved", F.lit(1))["quote"], statement=F.col("statement"), quotes=F.array_join(F.transform("resolved", lambda x: x["quote"]), "\n"), delivery=F.col("delivery"), cause=F.col("cause"),
-        actors=F.transform("resolved", lambda x: x["actor"]), broken_item=F.exists("evidence", lambda x: x.isNull()),
+        shape=F.col("shape"), code=F.col("codebook_code"), codes=codes, unit=F.col("unit"), reliability=F.col("source_reliability"), credibility=F.col("info_credibility"), n_evidence=F.coalesce(F.size("evidence"), F.lit(0)),
+        bad_item=F.try_element_at(F.filter(fault, lambda x: x.isNotNull()), F.lit(1)), first_quote=F.try_element_at("resolved", F.lit(1))["quote"], statement=F.col("statement"), quotes=F.array_join(F.transform("resolved", lambda x: x["quote"]), " "), delivery=F.col("delivery"), cause=F.col("cause"),
+        actors=F.transform("resolved", lambda x: x["actor"]),
     )
-    return capped(rows.withColumn("reason", why), most).withColumn("confidence", confidence(F.col("confidence")))
-
-
-def _raw(field: str) -> Column:
-    """JSON text of a field, with quotes if it is a string."""
-    return F.to_json(F.try_variant_get(F.try_parse_json("record"), f"$.{field}", "variant"))
+    judged = capped(rows.withColumn("reason", why), most)
+    return judged.withColumn("confidence", confidence(F.col("confidence"))).withColumn("info_credibility", whole_number(F.col("info_credibility"))).withColumn("quote_verified", F.col("reason").isNull())
 
 
 def rejection_causes(judged: DataFrame) -> DataFrame:

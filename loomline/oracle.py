@@ -5,8 +5,11 @@ Each statement is written from the meaning of its query, not from its plan.
 
 from __future__ import annotations
 
+import json
+
 from loomline import constants as C
-from loomline.queries import _CRED, LIMIT, OVERLAP, TERMS
+from loomline.operators.prompts import CODEBOOK
+from loomline.queries import _CONFIDENCE, _CRED, _NOTICES, LIMIT, OVERLAP, TERMS
 
 
 def _q(s: str) -> str:
@@ -175,26 +178,30 @@ FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY idx, branch)
 
 
 def _judged() -> str:
+    """`v` (window_id, family, position, reason, confidence, credibility): every rule from the position of the turn a record is about."""
     code = _pick((*C.ALL_CODES, "other"), "idx")
     family = "CASE " + " ".join(f"WHEN code IN ({', '.join(map(_q, own))}) THEN {_q(f)}" for f, own in C.PASS_CODES.items()) + " ELSE 'methodology_workflow' END"
     allowed = "CASE family " + " ".join(f"WHEN {_q(f)} THEN {_list(own)}" for f, own in C.PASS_CODES.items()) + " END"
-    number = rf"""CASE WHEN starts_with(cred, '"') THEN try_cast(regexp_extract(cred, '^"\s*([+-]?\d+)\s*"$', 1) AS INT) ELSE trunc(try_cast(cred AS DOUBLE))::INT END"""
+    number = rf"""CASE WHEN cred = 'true' THEN 1 WHEN starts_with(cred, '"') THEN try_cast(regexp_extract(cred, '^"\s*([+-]?\d+)\s*"$', 1) AS INT) ELSE trunc(try_cast(cred AS DOUBLE))::INT END"""
     ins = lambda c, vs: f"{c} IN ({', '.join(map(_q, vs))})"
-    notice = " OR ".join([f"{_strip('text')} = {_q(x)}" for x in C.NOTICE_EXACT.values()] + [f"regexp_full_match({_strip('text')}, {_q(p)})" for p in C.NOTICE_PATTERNS.values()])
     return f"""
-WITH a AS (SELECT turn_id, session_id, idx, actor, coalesce(text, '') AS text, {code} AS code, {_pick((*C.UNITS, "turn", "turn", "cross_session"), "idx")} AS unit, {_pick((*C.SOURCE_RELIABILITY, "G"), "idx")} AS rel,
-  {_pick(_CRED, "idx")} AS cred, idx % 4 AS n_ev, {_pick((*C.DELIVERY_VALUES, "x"), "idx")} AS delivery, {_pick(C.CAUSE_VALUES, "idx")} AS cause FROM ({_T})),
-b AS (SELECT *, {family} AS family FROM a), c AS (SELECT *, {number} AS num FROM b),
-j AS (SELECT turn_id, session_id || ':' || (idx // 8) AS window_id, idx % 8 AS position, CASE
+WITH a AS (SELECT turn_id, session_id, idx, actor, CASE WHEN idx % 37 = 0 THEN {_pick(_NOTICES, "idx // 37")} ELSE coalesce(text, '') END AS text, session_id || ':' || (idx // 64) AS window_id, {code} AS code, {_pick((*C.UNITS, "turn", "turn", "turn", "cross_session"), "idx")} AS unit, {_pick((*C.SOURCE_RELIABILITY, "G"), "idx")} AS rel,
+  {_pick(_CRED, "idx")} AS cred, {_pick(_CONFIDENCE, "idx")} AS conf, CASE WHEN idx % 31 = 0 THEN 2 ELSE idx % 4 END AS n_ev, {_pick((*C.DELIVERY_VALUES, "x"), "idx")} AS delivery, {_pick(C.CAUSE_VALUES, "idx")} AS cause FROM ({_T})),
+b AS (SELECT *, {family} AS family, substring(md5(window_id || {family}), 1, 1) = '0' AS odd FROM a), c AS (SELECT *, {number} AS num, row_number() OVER (PARTITION BY window_id, family ORDER BY idx) - 1 AS position FROM b),
+-- the turn a quote is bound to: the cited one, or the first of the window that holds it
+bound AS (SELECT x.turn_id, arg_min(y.actor, y.idx) AS first_actor FROM c x JOIN c y ON y.window_id = x.window_id AND contains(y.text, x.text) WHERE x.idx % 5 = 0 GROUP BY 1),
+j AS (SELECT c.*, CASE
   WHEN idx % 29 = 0 THEN 'record_not_object' WHEN NOT list_contains({allowed}, code) THEN 'code_not_allowed' WHEN NOT {ins("unit", C.UNITS)} THEN 'unit_not_allowed'
   WHEN NOT {ins("rel", C.SOURCE_RELIABILITY)} THEN 'source_reliability_not_allowed' WHEN num IS NULL THEN 'info_credibility_not_int' WHEN num NOT BETWEEN 1 AND 6 THEN 'info_credibility_out_of_range'
-  WHEN n_ev = 0 THEN 'missing_evidence' WHEN idx % 9 = 0 THEN 'quote_not_found' WHEN {notice} THEN 'platform_primary_evidence_denied'
+  WHEN n_ev = 0 THEN 'missing_evidence' WHEN idx % 9 = 0 OR text = '' THEN 'quote_not_found' WHEN idx % 31 = 0 THEN 'evidence_not_object' WHEN idx % 37 = 0 THEN 'platform_primary_evidence_denied'
   WHEN code = 'model_routing' AND NOT {_has("text", C.NAMED_ROUTE)} THEN 'model_routing_without_named_route'
   WHEN {ins("code", C.OUTCOME_CODES)} AND NOT ({ins("delivery", C.DELIVERY_VALUES)} AND {ins("cause", C.CAUSE_VALUES)}) THEN 'outcome_facets_invalid'
-  WHEN code = 'rework_cause' AND NOT {ins("cause", C.REAL_CAUSES)} THEN 'rework_cause_without_real_cause'
+  WHEN code = 'rework_cause' AND (cause = 'none' OR delivery IN ('landed', 'unknown')) THEN 'rework_cause_without_real_cause'
   WHEN (code = 'intent_stated' AND NOT (delivery = 'unknown' AND cause = 'none')) OR (code = 'delivery_result' AND delivery IN ('landed', 'unknown') AND cause <> 'none') THEN 'outcome_facets_invalid'
-  WHEN rel = 'A' AND actor NOT IN ('user', 'system') THEN 'source_reliability_a_without_direct_source' END AS reason0 FROM c),
-v AS (SELECT turn_id, CASE WHEN reason0 IS NULL AND row_number() OVER (PARTITION BY window_id, reason0 IS NULL ORDER BY position) > 1 THEN 'too_many_records' ELSE reason0 END AS reason FROM j)
+  WHEN rel = 'A' AND coalesce(first_actor, actor) NOT IN ('user', 'system') THEN 'source_reliability_a_without_direct_source' END AS reason0 FROM c LEFT JOIN bound USING (turn_id) WHERE NOT odd),
+k AS (SELECT *, CASE WHEN reason0 IS NULL AND row_number() OVER (PARTITION BY window_id, family, reason0 IS NULL ORDER BY position) > 3 THEN 'too_many_records' ELSE reason0 END AS reason FROM j),
+v AS (SELECT window_id, family, position::INT AS position, reason, CASE WHEN idx % 29 <> 0 THEN CASE WHEN conf IN ('0.9', '"High"', 'true') THEN 'high' WHEN conf = '0.5' THEN 'medium' ELSE 'low' END END AS confidence, CASE WHEN reason IS NULL THEN num END AS credibility FROM k
+  UNION ALL SELECT DISTINCT window_id, family, -1, 'records_not_list', NULL, NULL::INT FROM c WHERE odd)
 """
 
 
@@ -243,6 +250,16 @@ def _grams(x: str) -> str:
     return f"list_transform(range(1, len({w}) - 2), lambda i: array_to_string(({w})[i:i + 3], ' '))"
 
 
+def _book() -> str:
+    """CTEs `shot` and `code` with the rows of the codebook, and `pass`."""
+    with open(CODEBOOK, encoding="utf-8") as f:
+        book = json.load(f)
+    shots = ", ".join(f"({i}, {_q(x['codebook_code'])}, {_q(x['family'])}, {x['near_miss']}, {'facets' in x})" for i, x in enumerate(book["few_shots"]))
+    codes = ", ".join(f"({_q(x['code'])}, {len(x['includes'])}, {len(x['excludes'])})" for x in book["codes"])
+    passes = ", ".join(f"({_q(f)}, {_q(c)})" for f, own in {**C.PASS_CODES, "all": C.ALL_CODES}.items() for c in own)
+    return f"WITH shot(ord, code, source, near, faceted) AS (VALUES {shots}), code(code, i, e) AS (VALUES {codes}), pass(family, code) AS (VALUES {passes})"
+
+
 def oracle_sql() -> dict[str, str]:
     lo, hi = _wilson("hits", "total")
     window_ids = f"{_WINDOWS} SELECT window_id, session_id, window_index FROM ids"
@@ -273,6 +290,13 @@ def oracle_sql() -> dict[str, str]:
         "planned_prompts": f"{passes} SELECT 'per_family' AS strategy, family, count(*) AS n FROM plan GROUP BY family UNION ALL SELECT 'combined', 'all', count(*) FROM ids",
         "resume_remaining": f"{passes} SELECT window_id, family FROM plan WHERE ('0x' || substring(window_id, 9, 4))::BIGINT % 3 = 1",
         "prompt_clip_tier": f"{_WINDOWS}, z AS (SELECT session_id, window_index, {clip(200)} AS n1, {clip(90)} AS n2, {clip(42)} AS n3 FROM mem GROUP BY ALL) SELECT session_id, window_index, n1, n2, n3, CASE WHEN ceil((n1 + 400) / 4.0) <= 300 THEN 1 WHEN ceil((n2 + 400) / 4.0) <= 300 THEN 2 ELSE 3 END AS tier FROM z",
+        "prompt_examples": f"""{_book()}, room AS (SELECT DISTINCT family, CASE family WHEN 'all' THEN 3 WHEN 'outcome_attribution' THEN 7 ELSE 4 END AS n FROM pass),
+          own AS (SELECT r.family, r.n, s.* FROM room r JOIN shot s ON s.source = r.family OR EXISTS (SELECT 1 FROM pass p WHERE p.family = r.family AND p.code = s.code)),
+          good AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY ord) AS k FROM own WHERE NOT near), near AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY ord) AS k FROM own WHERE near),
+          must AS (SELECT family, min(ord) AS ord FROM good WHERE family = 'all' AND code = 'rework_cause' AND faceted GROUP BY 1 HAVING arg_min(k, ord) > 3),
+          kept AS (SELECT g.family, 0 AS part, g.k, g.ord FROM good g LEFT JOIN must m USING (family) WHERE g.k <= g.n - (m.family IS NOT NULL)::INT UNION ALL SELECT family, 0, 1000, ord FROM must UNION ALL SELECT family, 1, k, ord FROM near WHERE k <= 2)
+          SELECT family, row_number() OVER (PARTITION BY family ORDER BY part, k) AS place, ord FROM kept""",
+        "pass_cards": f"{_book()} SELECT family, code, CASE WHEN family = 'all' THEN least(i, 2) ELSE i END AS includes, CASE WHEN family = 'all' THEN least(e, 2) ELSE e END AS excludes FROM pass JOIN code USING (code)",
         "sensitivity_level": f"SELECT doc_id, CASE WHEN {_SECRET} THEN 'secret' WHEN {_OTHER} THEN 'personal' ELSE 'internal' END AS level FROM documents",
         "secret_hit_counts": f"SELECT doc_id, {_hits()} FROM documents",
         "masked_text": f"WITH d AS (SELECT doc_id, text FROM documents), {_masked('SELECT doc_id, text FROM d', 'doc_id')} SELECT doc_id, coalesce(shown, text) AS text, CASE WHEN text IS NOT NULL THEN coalesce(level, 'internal') END AS level, CASE WHEN text IS NOT NULL THEN coalesce(n_hits, 0) END AS n_hits FROM d LEFT JOIN masked USING (doc_id)",
@@ -285,12 +309,13 @@ def oracle_sql() -> dict[str, str]:
         "evidence_quote": f"SELECT doc_id, {_cut(_strip('text'), C.QUOTE_CHARS)} AS quote FROM documents",
         "signal_caps": f"{_HITS} SELECT session_id, stream, cap_key, count(*) AS n, max(idx) AS last_idx FROM capped GROUP BY ALL",
         "signal_records": _RECORDS,
-        "payload_validation": f"{_judged()} SELECT turn_id, reason FROM v",
+        "payload_validation": f"{_judged()} SELECT * FROM v",
         "rejection_causes": f"{_judged()} SELECT reason, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY reason",
-        "evidence_rebinding": f"""WITH t AS (SELECT *, session_id || ':' || (idx // 8) AS w, coalesce(text, '') AS x FROM ({_T})),
-          h AS (SELECT a.w AS window_id, a.idx AS position, b.turn_id, b.idx, b.turn_id <> a.session_id || ':' || (a.idx + 1) AS other FROM t a JOIN t b ON a.w = b.w AND substring(a.x, 1, 40) <> '' AND contains(b.x, substring(a.x, 1, 40)))
-          SELECT a.w AS window_id, a.idx AS position, f.turn_id, coalesce(f.n, 0) AS match_count, coalesce(f.other, false) AS rebound FROM t a
-          LEFT JOIN (SELECT window_id, position, count(*) AS n, arg_min(turn_id, (other, idx, turn_id)) AS turn_id, bool_and(other) AS other FROM h GROUP BY ALL) f ON f.window_id = a.w AND f.position = a.idx""",
+        "evidence_rebinding": f"""{_WINDOWS}, memw AS (SELECT window_id, mem.* FROM mem JOIN ids USING (session_id, window_index)), home AS (SELECT turn_id, min(window_id) AS window_id FROM memw GROUP BY 1),
+          ev AS (SELECT record_id, item, turn_id AS own, regexp_extract(turn_id, '^(.*:)\\d+$', 1) || (regexp_extract(turn_id, ':(\\d+)$', 1)::INT + 1) AS cited, quote, home.window_id FROM (
+            SELECT record_id, unnest(range(len(l))) AS item, unnest(l, recursive := true) FROM (SELECT record_id, CASE WHEN json_valid(evidence_json) THEN from_json(evidence_json, '[{{"turn_id":"VARCHAR","quote":"VARCHAR"}}]') ELSE [] END AS l FROM (SELECT DISTINCT record_id, evidence_json FROM records))) JOIN home USING (turn_id)),
+          hits AS (SELECT record_id, item, count(*) AS n, arg_min(m.turn_id, (m.turn_id <> cited, m.idx, m.turn_id)) AS turn_id, bool_and(m.turn_id <> cited) AS other FROM ev JOIN memw m ON m.window_id = ev.window_id AND quote <> '' AND contains(coalesce(m.text, ''), quote) GROUP BY ALL)
+          SELECT window_id, record_id, item::INT AS item, hits.turn_id, coalesce(n, 0) AS match_count, coalesce(other, false) AS rebound FROM ev LEFT JOIN hits USING (record_id, item)""",
         "platform_denylist": f"SELECT notice, count(*) AS n_rows, (2 * count(*))::BIGINT AS occurrences FROM (SELECT {quote} AS notice FROM ({_T})) WHERE notice <> '' GROUP BY notice",
         "dedup_key": f"{_KEYED} SELECT record_id, dedup_key FROM keyed",
         "dedup_merge": f"{_KEYED} SELECT * FROM merged",
@@ -300,13 +325,13 @@ def oracle_sql() -> dict[str, str]:
         "occurrence_conservation": f"{_KEYED} SELECT (SELECT count(*) FROM keyed) AS rows_before, (SELECT sum(occurrences) FROM keyed)::BIGINT AS occurrences_before, count(*) AS rows_after, sum(occurrences)::BIGINT AS occurrences_after, (SELECT sum(occurrences) FROM keyed) = sum(occurrences) AS conserved FROM merged",
         "window_run_latest": f"SELECT session_id, family, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY session_id, family ORDER BY event_id DESC) AS k FROM ({_LEDGER})) WHERE k = 1",
         "progress_snapshot": f"SELECT family, status, count(*) AS runs, sum(created)::BIGINT AS created, sum(rejected)::BIGINT AS rejected, count(DISTINCT session_id) AS sessions FROM ({_LEDGER}) GROUP BY ALL",
-        "errored_runs": f"SELECT family, count(*) AS n FROM ({_LEDGER}) WHERE status = 'error' GROUP BY family",
+        "errored_runs": f"SELECT event_id::VARCHAR AS window_id, session_id, family FROM ({_LEDGER}) WHERE status = 'error' AND event_id % 8 = 3",
         "work_queue": f"WITH s AS (SELECT DISTINCT session_id FROM turns) SELECT stream, 'pending' AS status, count(*) AS n FROM s, (SELECT unnest({_list(C.STREAMS)}) AS stream) WHERE NOT (stream = 'steering' AND substring(md5(session_id), 1, 1) IN ('0', '1', '2', '3')) GROUP BY stream",
         "recall_code_level": _scores(),
         "recall_by_bucket": _scores("bucket"),
         "quote_overlap": f"WITH e AS (SELECT record_id, unnest(from_json(evidence_json, '[{{\"turn_id\":\"VARCHAR\",\"quote\":\"VARCHAR\"}}]')[1:1], recursive := true) FROM cie_records WHERE json_valid(evidence_json)) SELECT record_id, list_has_any({_grams('quote')}, {_grams('text')}) AS overlaps FROM e JOIN ({_T}) t USING (turn_id)",
         "wilson_ci": f"SELECT event_type, hits, total, {lo} AS low, {hi} AS high FROM (SELECT event_type, count(*) AS total, count(*) FILTER (event_id % 5 = 0) AS hits FROM events GROUP BY 1)",
-        "evidence_integrity": f"SELECT problem, count(*) AS n FROM (SELECT CASE WHEN t.turn_id IS NULL THEN 'missing_turn' WHEN NOT coalesce(contains(text, quote), false) THEN 'quote_not_in_turn' END AS problem FROM ({evidence} FROM (SELECT DISTINCT record_id, evidence_json FROM records)) e LEFT JOIN ({_T}) t ON t.turn_id = e.turn_id) WHERE problem IS NOT NULL GROUP BY 1",
+        "evidence_integrity": f"SELECT problem, count(*) AS n FROM (SELECT CASE WHEN t.turn_id IS NULL THEN 'missing_turn' WHEN NOT coalesce(contains(text, quote), false) THEN 'quote_not_in_turn' END AS problem FROM (SELECT record_id, CASE WHEN md5(record_id)[1] = '0' THEN turn_id || 'x' ELSE turn_id END AS turn_id, CASE WHEN md5(record_id)[1] = '1' THEN quote || ' (sic)' ELSE quote END AS quote FROM ({evidence} FROM (SELECT DISTINCT record_id, evidence_json FROM records))) e LEFT JOIN ({_T}) t ON t.turn_id = e.turn_id) WHERE problem IS NOT NULL GROUP BY 1",
         "run_mean_sd": "SELECT event_type, count(*) AS n_runs, round(avg(s), 6) AS mean, round(coalesce(stddev_samp(s), 0.0), 6) AS sd FROM (SELECT event_type, event_id % 3 AS run, avg(value) AS s FROM events GROUP BY ALL) GROUP BY 1",
         "transport_stats": f"SELECT family, count(*) AS passes, round(count(*) FILTER (status = 'error')::DOUBLE / count(*), 6) AS error_rate, round(count(*) FILTER (event_id % 10 <> 0)::DOUBLE / count(*), 6) AS valid_json_rate FROM ({_LEDGER}) GROUP BY 1",
         "outcome_distribution": "SELECT json_extract_string(facets_json, '$.delivery') AS delivery, count(*) AS n FROM cie_records WHERE codebook_code = 'delivery_result' GROUP BY 1",

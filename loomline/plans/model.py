@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from loomline import constants as C
+from loomline.operators.sensitivity import mask_text, redact_error
 
-#: A chat function takes a prompt and gives the text of the answer and a usage object.
-Chat = Callable[[str], tuple[str, dict]]
+#: A chat function takes a prompt and gives the answer, as text or as a provider's response object, and a usage object.
+Chat = Callable[[str], tuple[str | dict, dict]]
 _REGISTRY: dict[str, Callable[..., Chat]] = {}
 ANSWER_MARKER = "<|channel|>final<|message|>"
 
@@ -59,36 +59,49 @@ def _rules(**_) -> Chat:
     return chat
 
 
-def visible_answer(c: Column) -> Column:
-    """What follows the last answer marker, or all of it where there is none; null where nothing is left."""
-    text = F.trim(F.substring_index(c, ANSWER_MARKER, -1))
-    return F.when(text != "", text)
+def visible_text(answer: str | dict) -> str:
+    """What a model says: of a provider's response object the text of its first choice, then what follows the last answer marker.
+
+    A response without choices or message, one that was cut off by length, and one that says nothing are errors.
+    """
+    if isinstance(answer, dict):
+        first = next(iter(answer.get("choices") or ()), None) if isinstance(answer.get("choices") or (), (list, tuple)) else None
+        message = first.get("message") if isinstance(first, dict) else None
+        faults = {"response without choices": not isinstance(first, dict), "response cut off by length": isinstance(first, dict) and first.get("finish_reason") == "length", "response without a message": not isinstance(message, dict)}
+        for fault, is_so in faults.items():
+            if is_so:
+                raise RuntimeError(fault)
+        content = message.get("content")
+        if isinstance(content, list):
+            said = [p if isinstance(p, str) else (p.get("text") or p.get("content")) if isinstance(p, dict) else None for p in content]
+            content = "\n".join(x for x in said if isinstance(x, str))
+        answer = content if isinstance(content, str) else ""
+    text = answer.rpartition(ANSWER_MARKER)[2].strip()
+    if not text:
+        raise RuntimeError("empty answer")
+    return text
 
 
-_THINK = re.compile(r"<think>.*?(?:</think>|\Z)", re.S | re.I)
+_THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _FENCE = re.compile(r"^\s*```[A-Za-z]*\s*|\s*```\s*$")
 
 
 def salvage_json(text: str | None) -> str | None:
-    """The JSON object of an answer: thoughts and fences dropped, else the last object that can be read from any brace on."""
+    """The JSON object of an answer: closed thoughts and fences dropped, else the object that begins at the last brace from which one can be read."""
     if not text:
         return None
     bare = _FENCE.sub("", _THINK.sub("", text).strip()).strip()
+    dump = lambda v: json.dumps(v, ensure_ascii=False) if isinstance(v, dict) else None
     try:
-        v = json.loads(bare)
-        return json.dumps(v, ensure_ascii=False) if isinstance(v, dict) else None
+        return dump(json.loads(bare))
     except ValueError:
-        pass
-    decoder, best, at = json.JSONDecoder(), None, bare.find("{")
+        at = bare.rfind("{")
     while at >= 0:
         try:
-            v, end = decoder.raw_decode(bare, at)
-            if isinstance(v, dict):
-                best = v
-            at = bare.find("{", end)
+            return dump(json.JSONDecoder().raw_decode(bare, at)[0])
         except ValueError:
-            at = bare.find("{", at + 1)
-    return None if best is None else json.dumps(best, ensure_ascii=False)
+            at = bare.rfind("{", 0, at)
+    return None
 
 
 @dataclass
@@ -108,30 +121,33 @@ class Budget:
         return None if self.max_calls is None else max(0, self.max_calls - self.calls) // C.MAX_ATTEMPTS_PER_PROMPT
 
 
-_OUT = "session_id string, window_index int, window_id string, family string, payload string, usage string, error string, attempts int"
+_OUT = "session_id string, window_index int, window_id string, family string, prompt_hash string, payload string, usage string, error string, attempts int"
 
 
 def call_model(bundles: DataFrame, chat: Chat) -> DataFrame:
-    """Payloads of prompt bundles (session_id, window_index, window_id, family, prompt). An answer that is no JSON is asked for once more; errors stay with their row."""
+    """Payloads of prompt bundles (session_id, window_index, window_id, family, prompt_hash, prompt).
+
+    Prompts are masked once more before they leave. An answer that is no JSON is asked for once more; errors stay with their row, without keys.
+    """
 
     def run(it: Iterator[pa.RecordBatch]):
         for b in it:
             rows = []
-            for prompt in b.column(4).to_pylist():
+            for prompt in b.column(5).to_pylist():
                 payload = usage = error = None
                 n = 0
                 while n < C.MAX_ATTEMPTS_PER_PROMPT and payload is None:
                     n += 1
                     try:
-                        answer, used = chat(prompt)
-                        usage, text = json.dumps(used or {}), answer.rpartition(ANSWER_MARKER)[2]
-                        payload = salvage_json(text)
-                        error = None if payload else "empty answer" if not text.strip() else "no JSON in answer"
+                        answer, used = chat(mask_text(prompt)[0])
+                        usage = json.dumps(used or {})
+                        payload = salvage_json(visible_text(answer))
+                        error = None if payload else "no JSON in answer"
                     except Exception as e:  # a failed call is a row of the ledger, not of the job
-                        error = f"{type(e).__name__}: {e}"[:500]
+                        error = redact_error(f"{type(e).__name__}: {e}")[:500]
                         break
                 rows.append((payload, usage, error, n))
             cols = [list(x) for x in zip(*rows)] if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=["session_id", "window_index", "window_id", "family", "payload", "usage", "error", "attempts"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=["session_id", "window_index", "window_id", "family", "prompt_hash", "payload", "usage", "error", "attempts"])
 
-    return bundles.select("session_id", "window_index", "window_id", "family", "prompt").mapInArrow(run, _OUT)
+    return bundles.select("session_id", "window_index", "window_id", "family", "prompt_hash", "prompt").mapInArrow(run, _OUT)

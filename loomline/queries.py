@@ -141,6 +141,19 @@ def prompt_clip_tier(spark, root):
     return sizes.select("session_id", "window_index", "n1", "n2", "n3", prompts.clip_tier(F.col("n1"), F.col("n2"), F.lit(400), 300).alias("tier"))
 
 
+def prompt_examples(spark, root):
+    """Examples of each pass, in order, from the codebook."""
+    book = prompts.codebook(spark)
+    return prompts.few_shots(book["few_shots"], book["passes"]).select("family", "place", "ord")
+
+
+def pass_cards(spark, root):
+    """Codes of each pass with the parts of their cards."""
+    book = prompts.codebook(spark)
+    n = lambda k: F.json_array_length(F.get_json_object("card", f"$.{k}")).alias(k)
+    return prompts.code_cards(book["codes"], book["passes"]).select("family", F.get_json_object("card", "$.code").alias("code"), n("includes"), n("excludes"))
+
+
 # --- sensitivity ---------------------------------------------------------------------------
 
 
@@ -208,47 +221,54 @@ def _pick(values, n) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values)) + 1)
 
 
-_CRED = ("3", '"4"', "2.7", "9", '"x"', "1", "6")
+_CRED = ("3", '"4"', "2.7", "9", '"x"', "1", "6", "true")
+_CONFIDENCE = ("0.9", '"0.9"', "0.5", '"High"', "null", "true", "[1]")
+_NOTICES = (*C.NOTICE_EXACT.values(), "Foreground timeout 900s exceeds the maximum of 600s. Use background=true with notify_on_complete=true for long-running commands.")
 
 
-def _judged(spark: SparkSession, root: str) -> DataFrame:
-    t = _turns(spark, root).select("turn_id", "session_id", "idx", "actor", F.coalesce("text", F.lit("")).alias("text"))
+def _payloads(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(payloads, surface): JSON answers about blocks of 64 turns, one record a turn, with faults by position; a turn in 37 is a platform notice."""
     i = F.col("idx")
-    family = F.lit(None).cast("string")
-    codes = F.lit(None).cast("array<string>")
-    code = _pick((*C.ALL_CODES, "other"), i)
+    text = F.when(i % 37 == 0, _pick(_NOTICES, F.floor(i / 37).cast("int"))).otherwise(F.coalesce("text", F.lit("")))
+    t = _turns(spark, root).select("turn_id", "session_id", "idx", "actor", F.concat_ws(":", "session_id", F.floor(i / 64).cast("string")).alias("window_id"), text.alias("shown"))
+    js = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    code, family = _pick((*C.ALL_CODES, "other"), i), F.lit("methodology_workflow")
     for fam, own in C.PASS_CODES.items():
         family = F.when(code.isin(*own), fam).otherwise(family)
-    family = F.coalesce(family, F.lit("methodology_workflow"))
-    for fam, own in C.PASS_CODES.items():
-        codes = F.when(family == fam, F.array(*[F.lit(c) for c in own])).otherwise(codes)
-    n = i % 4
-    why = validate.reason(
-        shape=F.when(i % 29 == 0, "record_not_object"), code=code, codes=codes, unit=_pick((*C.UNITS, "turn", "turn", "cross_session"), i), reliability=_pick((*C.SOURCE_RELIABILITY, "G"), i),
-        credibility=_pick(_CRED, i), n_evidence=n, n_found=n - F.when(i % 9 == 0, 1).otherwise(0), first_quote=F.col("text"), statement=F.col("text"), quotes=F.lit(""),
-        delivery=_pick((*C.DELIVERY_VALUES, "x"), i), cause=_pick(C.CAUSE_VALUES, i), actors=F.array("actor"),
+    cited = F.when(i % 5 == 0, F.lit("nowhere")).otherwise(F.col("turn_id"))
+    item = F.concat(F.lit('{"turn_id":'), js(cited), F.lit(',"quote":'), js(F.when(i % 9 == 0, F.concat("shown", F.lit(" and more"))).otherwise(F.col("shown"))), F.lit("}"))
+    evidence = F.when(i % 31 == 0, F.concat(item, F.lit(',"a string"'))).otherwise(F.array_join(F.array_repeat(item, (i % 4).cast("int")), ","))
+    record = F.concat(
+        F.lit('{"codebook_code":'), js(code), F.lit(',"unit":'), js(_pick((*C.UNITS, "turn", "turn", "turn", "cross_session"), i)), F.lit(',"source_reliability":'), js(_pick((*C.SOURCE_RELIABILITY, "G"), i)), F.lit(',"info_credibility":'), _pick(_CRED, i),
+        F.lit(',"statement":'), js(F.col("shown")), F.lit(',"facets":{"delivery":'), js(_pick((*C.DELIVERY_VALUES, "x"), i)), F.lit(',"cause":'), js(_pick(C.CAUSE_VALUES, i)), F.lit('},"confidence":'), _pick(_CONFIDENCE, i), F.lit(',"evidence":['), evidence, F.lit("]}"),
     )
-    rows = t.select(F.concat_ws(":", "session_id", F.floor(i / 8).cast("string")).alias("window_id"), F.lit("all").alias("family"), (i % 8).alias("position"), "turn_id", why.alias("reason"))
-    return validate.capped(rows, 1)
+    rows = t.select("window_id", family.alias("family"), "idx", F.when(i % 29 == 0, F.lit('"no object"')).otherwise(record).alias("r"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "r"))), lambda x: x["r"]), ",")
+    odd = F.substring(F.md5(F.concat("window_id", "family")), 1, 1) == "0"
+    payload = rows.groupBy("window_id", "family").agg(listed.alias("l")).select("window_id", "family", F.when(odd, F.lit('{"records": {"a": 1}}')).otherwise(F.concat(F.lit('{"records": ['), "l", F.lit("]}"))).alias("payload"))
+    return payload, t.select("window_id", "turn_id", "idx", "actor", "shown")
 
 
 def payload_validation(spark, root):
-    """Outcome of each candidate; candidates are scaffolding made from turns."""
-    return _judged(spark, root).select("turn_id", "reason")
+    """Outcome of each candidate of JSON payloads; the payloads are scaffolding made from turns."""
+    return validate.validated(*_payloads(spark, root)).select("window_id", "family", F.coalesce("position", F.lit(-1)).cast("int").alias("position"), "reason", F.when(F.col("shape").isNull(), F.col("confidence")).alias("confidence"), F.when(F.col("reason").isNull(), F.col("info_credibility")).alias("credibility"))
 
 
 def rejection_causes(spark, root):
-    return validate.rejection_causes(_judged(spark, root))
+    return validate.rejection_causes(validate.validated(*_payloads(spark, root)))
 
 
 def evidence_rebinding(spark, root):
-    """Quotes that cite the turn after theirs, resolved among the turns of their block of eight."""
-    t = _turns(spark, root).select(F.concat_ws(":", "session_id", F.floor(F.col("idx") / 8).cast("string")).alias("window_id"), "turn_id", "idx", "actor", "session_id", F.coalesce("text", F.lit("")).alias("shown"))
-    cited = F.concat_ws(":", "session_id", (F.col("idx") + 1).cast("string"))
-    evidence = F.array(F.struct(cited.alias("turn_id"), F.substring("shown", 1, 40).alias("quote")))
-    cand = t.select("window_id", F.lit("all").alias("family"), F.col("idx").alias("position"), F.lit(None).cast("string").alias("shape"), evidence.alias("evidence"))
-    got = validate.resolved_evidence(cand, t.select("window_id", "turn_id", "idx", "actor", "shown"))
-    return got.select("window_id", "position", "turn_id", "match_count", "rebound")
+    """Quotes of the records table, whole, that cite the turn after theirs, resolved among the turns of the window of theirs."""
+    t = _flagged(spark, root)
+    m = windows.members(_windows(spark, root).drop("tokens", "flags"), t.select("session_id", "idx", "turn_id", "actor", F.coalesce("text", F.lit("")).alias("shown")))
+    surface = cut_lineage(m.select(windows.window_id().alias("window_id"), "turn_id", "idx", "actor", "shown"))
+    e = _records(spark, root).select("record_id", F.posexplode(F.from_json("evidence_json", validate.EVIDENCE)).alias("item", "e")).select("record_id", "item", "e.turn_id", "e.quote")
+    of = surface.groupBy("turn_id").agg(F.min("window_id").alias("window_id"))
+    shifted = F.concat(F.regexp_extract("turn_id", r"^(.*:)\d+$", 1), (F.regexp_extract("turn_id", r":(\d+)$", 1).cast("int") + 1).cast("string"))
+    cand = e.join(of, "turn_id").select("window_id", F.col("record_id").alias("family"), F.col("item").alias("position"), F.lit(None).cast("string").alias("shape"), F.array(F.struct(shifted.alias("turn_id"), "quote")).alias("evidence"))
+    got = validate.resolved_evidence(cand, surface)
+    return got.select("window_id", F.col("family").alias("record_id"), F.col("position").alias("item"), "turn_id", "match_count", "rebound")
 
 
 def platform_denylist(spark, root):
@@ -304,7 +324,8 @@ def progress_snapshot(spark, root):
 
 
 def errored_runs(spark, root):
-    return _ledger(spark, root).where("status = 'error'").groupBy("family").agg(F.count("*").alias("n"))
+    ledger = _ledger(spark, root).withColumn("window_id", F.col("event_id").cast("string")).withColumn("extractor_version", F.concat(F.lit("v"), (F.col("event_id") % 8).cast("string")))
+    return register.errored(ledger, "v3").select("window_id", "session_id", "family")
 
 
 def work_queue(spark, root):
@@ -350,7 +371,10 @@ def wilson_ci(spark, root):
 
 
 def evidence_integrity(spark, root):
+    """Faults of evidence links, some of which are broken on purpose: an eighth of the records gets another turn or quote."""
     e = _records(spark, root).select("record_id", F.explode(F.from_json("evidence_json", validate.EVIDENCE)).alias("e")).select("record_id", "e.turn_id", "e.quote")
+    hit = lambda n: F.substring(F.md5("record_id"), 1, 1) == n
+    e = e.withColumn("turn_id", F.when(hit("0"), F.concat("turn_id", F.lit("x"))).otherwise(F.col("turn_id"))).withColumn("quote", F.when(hit("1"), F.concat("quote", F.lit(" (sic)"))).otherwise(F.col("quote")))
     return scoring.integrity(e, _turns(spark, root))
 
 
@@ -416,7 +440,7 @@ def usage_cost(spark, root):
 
 QUERIES = (
     turns_normalized, turn_offsets, actor_turn_counts, skip_rule_counts, exclude_feedback_sessions, newest_n_sessions, content_hash_changes, token_estimate, session_windows, window_ids, window_overlap_turns,
-    family_routing, no_signal_windows, planned_prompts, resume_remaining, prompt_clip_tier, sensitivity_level, secret_hit_counts, masked_text, question_signals, correction_signals, tool_failures, methodology_signals,
+    family_routing, no_signal_windows, planned_prompts, resume_remaining, prompt_clip_tier, prompt_examples, pass_cards, sensitivity_level, secret_hit_counts, masked_text, question_signals, correction_signals, tool_failures, methodology_signals,
     methodology_sinks, brief_text, evidence_quote, signal_caps, signal_records, payload_validation, rejection_causes, evidence_rebinding, platform_denylist, dedup_key, dedup_merge, dedup_upsert, occurrence_conservation,
     window_run_latest, progress_snapshot, errored_runs, work_queue, recall_code_level, recall_by_bucket, recall_quote_strict, quote_overlap, wilson_ci, evidence_integrity, run_mean_sd, transport_stats,
     outcome_distribution, rework_causes, bucket_sessions, stratified_sample, session_coverage, topk_findings, pilot_counts, pilot_examples, usage_cost,

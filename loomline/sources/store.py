@@ -46,6 +46,14 @@ class TableStore:
         """Append rows to a trace."""
         df.write.mode("append").json(f"{self.path}/{name}")
 
+    def write_text(self, name: str, text: str) -> str:
+        """A report as a file beside the tables."""
+        path = f"{self.path}/{name}"
+        out = self._fs.create(self._p(path), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return path
+
     def prune(self, name: str, keep: int = 2) -> None:
         for v in self.versions(name)[:-keep]:
             self._fs.delete(self._p(f"{self.path}/{name}/v{v}"), True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline import constants as C
 from loomline.operators.normalize import first_field, message_text
 from loomline.operators.scan import running_total
 
@@ -96,7 +98,10 @@ def benchmark(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     entries = manifest.select(F.explode("entries").alias("e")).select("e.session_id", F.col("e.bucket").alias("_b"))
     own = F.col("bucket") if "bucket" in sessions.columns else F.lit(None).cast("string")
     heads = sessions.withColumn("_own", own).join(F.broadcast(entries), "session_id", "left").select("session_id", F.coalesce("_b", "_own").alias("bucket"))
-    turns = sessions.select(F.col("session_id").alias("_s"), F.explode("turns").alias("t")).select("t.*", "_s").withColumn("session_id", F.col("_s")).drop("_s")
+    told = sessions.select(F.col("session_id").alias("_s"), F.explode("turns").alias("t")).select("_s", "t.*")
+    own_columns = {"turn_id": "string", "idx": "int", "actor": "string", "text": "string", "tool_name": "string"}
+    # a member that is null or missing everywhere has no column; turns belong to the session of their file
+    turns = told.select(F.col("_s").alias("session_id"), *[(F.col(c) if c in told.columns else F.lit(None)).cast(t).alias(c) for c, t in own_columns.items()])
 
     def side(name: str) -> DataFrame:
         r = read(name).select("session_id", F.posexplode("records").alias("ord", "r"))
@@ -105,7 +110,7 @@ def benchmark(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"manifest": manifest, "sessions": heads, "turns": turns, "gold": side("gold"), "baseline": side("baseline")}
 
 
-def freeze(sessions: DataFrame, turns: DataFrame, gold: DataFrame, baseline: DataFrame, path: str) -> DataFrame:
+def freeze(sessions: DataFrame, turns: DataFrame, gold: DataFrame, baseline: DataFrame, path: str, *, codebook: str | None = None, window_params: tuple[int, int] = (C.MAX_WINDOW_TOKENS, C.OVERLAP_TOKENS), sampling: str = "all") -> DataFrame:
     """Write a benchmark folder (one JSON document a session) and return its totals as one row.
 
     A frozen set is a small sample; each session's turns fit one document.
@@ -116,6 +121,14 @@ def freeze(sessions: DataFrame, turns: DataFrame, gold: DataFrame, baseline: Dat
         side.join(sessions.select("session_id"), "session_id").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("code").alias("codebook_code"), "evidence"))).alias("records")).write.mode("overwrite").json(f"{path}/{name}")
     n = lambda d, a: d.join(sessions.select("session_id"), "session_id", "left_semi").agg(F.count("*").alias(a))
     totals = sessions.agg(F.count("*").alias("sessions")).join(n(turns, "turns"), F.lit(True)).join(n(gold, "gold_findings"), F.lit(True)).join(n(baseline, "baseline_findings"), F.lit(True))
+    buckets = sessions.groupBy().agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in ("short", "medium", "long")])
     entries = sessions.select(F.struct("session_id", "bucket").alias("e")).agg(F.sort_array(F.collect_list("e")).alias("entries"))
-    totals.select(F.struct("*").alias("totals")).join(entries, F.lit(True)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
+    digest = None
+    if codebook is not None:
+        with open(codebook, "rb") as f:
+            digest = hashlib.sha256(f.read()).hexdigest()[:16]
+    head = totals.select(
+        F.struct("*").alias("totals"), F.lit(sampling).alias("sampling"), F.lit(digest).alias("codebook_sha256_16"), F.struct(F.lit(window_params[0]).alias("max_window_tokens"), F.lit(window_params[1]).alias("overlap_tokens")).alias("window_params"),
+    )
+    head.join(buckets.select(F.struct("*").alias("buckets")), F.lit(True)).join(entries, F.lit(True)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
     return totals

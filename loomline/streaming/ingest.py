@@ -12,7 +12,7 @@ from loomline.sources import transcripts
 from loomline.sources.store import TableStore
 
 TURNS = "turn_id string, session_id string, idx int, actor string, ts string, text string, tool_name string"
-SESSIONS = "session_id string, path string, content_hash string, error_detail string, status string"
+SESSIONS = "session_id string, path string, content_hash string, error_detail string, status string, turn_count long"
 
 
 def stream(spark: SparkSession, inbox: str) -> DataFrame:
@@ -29,9 +29,27 @@ def take_in(store: TableStore, batch: DataFrame) -> None:
     if fresh.isEmpty():
         return
     rows = cut_lineage(transcripts.parsed(fresh))
-    turns = normalize.turns(transcripts.messages_of(rows))
+    turns = cut_lineage(normalize.turns(transcripts.messages_of(rows)))
     store.write("turns", cut_lineage(normalize.replace_sessions(store.read("turns", TURNS), turns)))
-    store.write("sessions", cut_lineage(normalize.replace_sessions(sessions, transcripts.sessions_of(rows).select("session_id", "path", "content_hash", "error_detail", "status"))))
+    n = turns.groupBy("session_id").agg(F.count("*").alias("turn_count"))
+    taken = transcripts.sessions_of(rows).join(n, "session_id", "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0)).cast("long"))
+    store.write("sessions", cut_lineage(normalize.replace_sessions(sessions, taken.select(*sessions.columns))))
+
+
+def take_state(store: TableStore, sessions: DataFrame, messages: DataFrame, limit: int = 20) -> int:
+    """The newest sessions of a state store into the tables, unless their content is stored already; returns how many changed."""
+    chosen = cut_lineage(normalize.newest_sessions(sessions, normalize.excluded_sessions(sessions, messages), limit).select(F.col("id").alias("session_id")))
+    rows = messages.join(chosen, "session_id", "left_semi").select("session_id", "id", "role", F.col("content").alias("text"), "tool_name", F.col("timestamp").cast("string").alias("ts"))
+    turns = cut_lineage(normalize.turns(normalize.positioned(rows)))
+    stored = store.read("sessions", SESSIONS)
+    hashes = normalize.content_hashes(turns)
+    changed = cut_lineage(normalize.changed_sessions(hashes, stored).select("session_id", "content_hash"))
+    fresh = turns.join(changed, "session_id", "left_semi")
+    n = fresh.groupBy("session_id").agg(F.count("*").alias("turn_count"))
+    taken = changed.join(n, "session_id").select("session_id", F.lit("state").alias("path"), "content_hash", F.lit(None).cast("string").alias("error_detail"), F.lit("normalized").alias("status"), "turn_count")
+    store.write("turns", cut_lineage(normalize.replace_sessions(store.read("turns", TURNS), fresh)))
+    store.write("sessions", cut_lineage(normalize.replace_sessions(stored, taken.select(*stored.columns))))
+    return changed.count()
 
 
 def start(store: TableStore, inbox: str, checkpoint: str) -> StreamingQuery:

@@ -11,7 +11,7 @@ from loomline import queries
 from loomline.functions import usage
 from loomline.functions.text import brief, cut_at_word, strip
 from loomline.operators import normalize, prompts, register, reports, scan, scoring, sensitivity, signals, validate, windows
-from loomline.plans import cycle, model
+from loomline.plans import benchmark, cycle, extract, model
 from loomline.sources import transcripts
 from loomline.sources.store import TableStore
 from loomline.streaming import ingest
@@ -205,11 +205,22 @@ def test_resume(spark):
     assert sorted(one(windows.remaining(plan, ledger))) == [("w2", "a"), ("w3", "a")]
 
 
-def test_few_shots():
-    shots = [{"codebook_code": "correction_preference", "n": i} for i in range(5)] + [{"codebook_code": "rework_cause", "facets": {"cause": "agent"}}, {"codebook_code": "none", "source_family": "correction_preference", "negative_or_near_miss": True}]
-    assert len(prompts.few_shots("correction_preference", shots)) == 5
-    combined = prompts.few_shots("all", shots)
-    assert len(combined) == 3 and combined[-1]["codebook_code"] == "rework_cause"
+def test_few_shots(spark):
+    shots = [(i, "correction_preference", "correction_preference", False, False, f"c{i}") for i in range(5)] + [(5, "rework_cause", "outcome_attribution", False, False, "bare"), (6, "rework_cause", "outcome_attribution", False, True, "forced"), (7, "none", "correction_preference", True, False, "near")]
+    passes = [(f, c) for f, own in {**C.PASS_CODES, "all": C.ALL_CODES}.items() for c in own]
+    book = spark.createDataFrame(shots, "ord int, codebook_code string, source string, near_miss boolean, faceted boolean, card string"), spark.createDataFrame(passes, "family string, code string")
+    got = {}
+    for f, _, _, card in one(prompts.few_shots(*book).orderBy("family", "place")):
+        got.setdefault(f, []).append(card)
+    assert got["correction_preference"] == ["c0", "c1", "c2", "c3", "near"]
+    assert got["all"] == ["c0", "c1", "forced"] and got["outcome_attribution"] == ["bare", "forced"] and "methodology_workflow" not in got
+
+
+def test_heads_hold_the_codebook(spark):
+    heads = prompts.heads(prompts.codebook(spark))
+    assert set(heads) == {*C.PASS_CODES, "all"}
+    assert all(f'"code":"{c}"' in heads[f] for f, own in C.PASS_CODES.items() for c in own)
+    assert "near_miss" in heads["outcome_attribution"] and heads["all"].count('"definition"') == 10 and "letter by letter" in heads["all"]
 
 
 def test_window_queries_measure_masked_text(spark, tmp_path):
@@ -258,7 +269,8 @@ def judge(spark, *records, family="correction_preference", raw=None, text="pleas
     ({}, None), ({"codebook_code": "nope"}, "code_not_allowed"), ({"unit": "cross_session"}, "unit_not_allowed"), ({"source_reliability": "G"}, "source_reliability_not_allowed"),
     ({"info_credibility": "x"}, "info_credibility_not_int"), ({"info_credibility": 2.7}, None), ({"info_credibility": "4"}, None), ({"info_credibility": 9}, "info_credibility_out_of_range"),
     ({"evidence": []}, "missing_evidence"), ({"evidence": [{"turn_id": "s:0", "quote": "absent"}]}, "quote_not_found"), ({"evidence": [{"turn_id": "s:9", "quote": "use the other"}]}, None),
-    ({"source_reliability": "A"}, "source_reliability_a_without_direct_source"), ({"evidence": [None]}, "evidence_not_object"),
+    ({"source_reliability": "A"}, "source_reliability_a_without_direct_source"), ({"evidence": [None]}, "evidence_not_object"), ({"evidence": ["x"]}, "evidence_not_object"), ({"evidence": [GOOD["evidence"][0], "x"]}, "evidence_not_object"),
+    ({"evidence": [{"turn_id": "s:0", "quote": "absent"}, "x"]}, "quote_not_found"), ({"evidence": ["x", {"turn_id": "s:0", "quote": "absent"}]}, "evidence_not_object"), ({"evidence": "use the other"}, "missing_evidence"), ({"evidence": [{"turn_id": "s:0", "quote": 5}]}, "quote_not_found"), ({"info_credibility": True}, None),
 ])
 def test_rejections(spark, change, expected):
     assert judge(spark, {**GOOD, **change}) == [expected]
@@ -266,11 +278,19 @@ def test_rejections(spark, change, expected):
 
 def test_outcome_rules(spark):
     base = {**GOOD, "codebook_code": "rework_cause"}
-    cases = [({"delivery": "rework", "cause": "agent"}, "rework_cause", None), ({"delivery": "rework", "cause": "none"}, "rework_cause", "rework_cause_without_real_cause"), ({"delivery": "x", "cause": "agent"}, "rework_cause", "outcome_facets_invalid"), ({"delivery": "landed", "cause": "agent"}, "delivery_result", "outcome_facets_invalid"), ({"delivery": "unknown", "cause": "none"}, "intent_stated", None)]
+    cases = [({"delivery": "rework", "cause": "agent"}, "rework_cause", None), ({"delivery": "rework", "cause": "none"}, "rework_cause", "rework_cause_without_real_cause"), ({"delivery": "x", "cause": "agent"}, "rework_cause", "outcome_facets_invalid"), ({"delivery": "landed", "cause": "agent"}, "rework_cause", "rework_cause_without_real_cause"), ({"delivery": "landed", "cause": "agent"}, "delivery_result", "outcome_facets_invalid"), ({"delivery": "unknown", "cause": "none"}, "intent_stated", None)]
     for facets, code, expected in cases:
         assert judge(spark, {**base, "codebook_code": code, "facets": facets}, family="outcome_attribution") == [expected]
 
 
+def test_confidence_and_defaults(spark):
+    p = spark.createDataFrame([(str(i), "correction_preference", json.dumps({"records": [{**GOOD, "confidence": c}]})) for i, c in enumerate([0.9, "0.9", 0.5, "HIGH", None, True, [1], 0.1])], "window_id string, family string, payload string")
+    surface = spark.createDataFrame([(str(i), "s:0", 0, "agent", "please use the other file now") for i in range(8)], "window_id string, turn_id string, idx int, actor string, shown string")
+    rows = validate.validated(p, surface).orderBy("window_id").collect()
+    assert [r.confidence for r in rows] == ["high", "low", "medium", "high", "low", "high", "low", "low"]
+    assert {(r.facets, r.assumptions, r.alternative_interpretations, r.disconfirming_evidence, r.falsifiers, r.confidence_basis, r.quote_verified) for r in rows} == {("{}", "[]", "[]", "[]", "[]", "", True)}
+
+
 def test_payload_shapes_and_cap(spark):
     assert judge(spark, raw="no json") == ["records_not_list"] and judge(spark, raw='{"records": {}}') == ["records_not_list"] and judge(spark, raw='{"records": []}') == []
     assert judge(spark, 5) == ["record_not_object"]
@@ -402,10 +422,31 @@ def test_usage(spark):
 
 def test_salvage():
     assert json.loads(model.salvage_json('<think>{"a": 1}</think>```json\n{"b": 2}\n```')) == {"b": 2}
-    assert json.loads(model.salvage_json('text {"a": 1} and {"b": {"c": 3}} end')) == {"b": {"c": 3}}
+    assert json.loads(model.salvage_json('text {"a": 1} and {"b": 3} end')) == {"b": 3}
+    assert json.loads(model.salvage_json('text {"a": 1} and {"b": {"c": 3}} end')) == {"c": 3}  # the object of the last brace that can be read
+    assert json.loads(model.salvage_json('<think>never closed {"a": 1}')) == {"a": 1} and json.loads(model.salvage_json('{"a": 1} {"b": ')) == {"a": 1}
     assert model.salvage_json("none") is None and model.salvage_json(None) is None and model.salvage_json("[1]") is None
 
 
+def test_visible_text():
+    say = lambda c, **k: {"choices": [{"message": {"content": c}, **k}]}
+    assert model.visible_text(say("a")) == "a" and model.visible_text(say([{"text": "a"}, "b", {"content": "c"}, 5])) == "a\nb\nc"
+    assert model.visible_text(f"thought {model.ANSWER_MARKER} b ") == "b"
+    for bad, fault in (({}, "without choices"), ({"choices": [5]}, "without choices"), (say("x", finish_reason="length"), "cut off"), ({"choices": [{}]}, "without a message"), (say(" "), "empty"), (say(None), "empty"), ("", "empty")):
+        with pytest.raises(RuntimeError, match=fault):
+            model.visible_text(bad)
+
+
+def test_errors_and_prompts_carry_no_keys(spark):
+    seen = spark.createDataFrame([("s", 0, "w", "all", "h", "call ann@mail.example.org now")], "session_id string, window_index int, window_id string, family string, prompt_hash string, prompt string")
+
+    def chat(prompt):
+        raise RuntimeError(f"{prompt} with Bearer abc.def-123 api_key=hunter2hunter2 ghp_abcdefgh")
+
+    r = model.call_model(seen, chat).first()
+    assert "[REDACTED_EMAIL_1]" in r.error and not any(x in r.error for x in ("ann@", "abc.def", "hunter2", "ghp_")) and r.prompt_hash == "h"
+
+
 def state(spark, n=3):
     s = spark.createDataFrame([(f"s{i}", 10.0 * (i + 1), 4, None) for i in range(n)], "id string, started_at double, message_count int, title string")
     m = spark.createDataFrame([(10 * i + k, f"s{i}", role, text, None, 1.0) for i in range(n) for k, (role, text) in enumerate([("user", "that is wrong, use the other parser"), ("assistant", "I will verify it with a test"), ("user", "thanks")])], "id long, session_id string, role string, content string, tool_name string, timestamp double")
@@ -422,6 +463,55 @@ def test_mine_cycle(spark, tmp_path):
     assert again.windows == 0 and cursor == 30.0
     replay, _ = cycle.mine(store, s, m, model.make_chat("rules"), version="v1", now="2026-01-02 00:00:00", by_cursor=False)
     assert store.read("register").agg(F.sum("occurrences")).first()[0] == total
+    r = store.read("register", cycle.REGISTER)
+    assert r.where("family IS NULL OR codebook_code IS NULL OR size(evidence) = 0 OR facets <> '{}' OR falsifiers <> '[]' OR NOT quote_verified OR prompt_hash IS NULL OR session_id IS NULL").count() == 0
+    text = cycle.findings_report(store)
+    assert "## correction_preference" in text and f"occurrences: {total}" in text
+    before = r.count()
+    notice = C.NOTICE_EXACT["voice_input_concision_note"]
+    spoilt = r.unionByName(r.limit(1).select(*[F.lit("zz").alias(c) if c in ("dedup_key", "record_id") else F.array(F.struct(F.lit("t").alias("turn_id"), F.lit(notice).alias("quote"))).alias(c) if c == "evidence" else F.lit(4).cast("long").alias(c) if c == "occurrences" else F.col(c) for c in r.columns]))
+    store.write("register", spoilt.unionByName(r.limit(1).withColumn("record_id", F.lit("again")).withColumn("dedup_key", F.lit("stale"))))
+    assert cycle.purge(store) == {"voice_input_concision_note": (1, 4)}
+    done = cycle.rekey(store)
+    assert done["conserved"] and store.read("register").count() == before == done["rows_after"] and done["rows_before"] == before + 1
+
+
+def test_extraction_of_the_store(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    s, m = state(spark, 2)
+    assert ingest.take_state(store, s, m) == 2 and ingest.take_state(store, s, m) == 0
+    with pytest.raises(extract.NotApproved):
+        extract.run(store, full_corpus=True)
+    extract.approve(store, "ann", "", "now")
+    got = extract.run(store, full_corpus=True)
+    assert got == {"queued": 6, "sessions": 2, "records_created": 2} and extract.run(store)["records_created"] == 0
+    told = extract.status(store)
+    assert told["sessions"] == 2 and told["work_items"] == {"completed": 6} and told["pilot_approved"] and told["turns"] == 6
+    assert {r.turn_count for r in store.read("sessions").collect()} == {3}
+    assert "## methodology: plan_spike_build_verify" in reports.pilot_markdown(store.read("records"))
+
+
+def test_candidate_run(spark, tmp_path):
+    """Golden scores on a small benchmark: of three gold findings the offline extractor finds two, one with another quote."""
+    said = [("user", "that is wrong, use the other parser"), ("agent", "I will verify it with a test first"), ("user", "I prefer short answers in the morning")]
+    t = spark.createDataFrame([("s", i, f"s:{i}", a, x, None) for i, (a, x) in enumerate(said)], "session_id string, idx int, turn_id string, actor string, text string, tool_name string")
+    sessions = spark.createDataFrame([("s", "short")], "session_id string, bucket string")
+    gold = [("s", 0, "correction_preference", [("s:0", "that is wrong, use the other parser")]), ("s", 1, "verification_review", [("s:1", "a test first")]), ("s", 2, "communication_preference", [("s:2", "short answers")])]
+    g = spark.createDataFrame(gold, "session_id string, ord int, code string, evidence array<struct<turn_id:string,quote:string>>")
+    transcripts.freeze(sessions, t, g, g.limit(1), str(tmp_path), codebook=prompts.CODEBOOK, window_params=(900, 0))
+    data = transcripts.benchmark(spark, str(tmp_path))
+    head = data["manifest"].first()
+    assert len(head.codebook_sha256_16) == 16 and head.buckets.short == 1 and head.totals.gold_findings == 3
+    got = benchmark.run_candidate(data, model.make_chat("rules"), runs=2, threshold=0.6)
+    rows = {(r.run, r.level, r.bucket): (r.gold, r.candidates, r.matched) for r in got["runs"].collect()}
+    found = rows[1, "code", "all"][1]
+    assert got["window_params"] == (900, 0) and rows[1, "code", "all"][::2] == (3, 2) and rows[2, "quote", "all"] == (3, found, 1) and rows[1, "code", "short"] == rows[1, "code", "all"]
+    assert got["recall_pass"] and abs(got["summary"]["recall"]["mean"] - 2 / 3) < 1e-5 and got["summary"]["recall"]["sd"] == 0
+    assert got["transport"].where("error_rate > 0").count() == 0 and "reaches the threshold: yes" in reports.scorecard_markdown(got)
+    with pytest.raises(ValueError, match="missing_turn"):
+        benchmark.run_candidate({**data, "turns": data["turns"].where("idx > 0")}, model.make_chat("rules"))
+    with pytest.raises(ValueError, match="total of turns"):
+        benchmark.run_candidate({**data, "turns": data["turns"].unionByName(data["turns"].limit(1).withColumn("turn_id", F.lit("s:9")))}, model.make_chat("rules"))
 
 
 def test_errors_hold_the_cursor_and_budget_stops(spark, tmp_path):
