@@ -25,11 +25,11 @@ def message_text(content: Column) -> Column:
     A list is joined by line breaks; anything else is its JSON text; null is empty.
     """
     v = F.try_parse_json(content)
-    kind = F.schema_of_variant(v)
-    items = F.from_json(content, "array<string>")
-    part = lambda i: F.when(F.substring(i, 1, 1) == "{", F.coalesce(F.get_json_object(i, "$.text"), F.get_json_object(i, "$.content"))).otherwise(i)
-    joined = F.array_join(F.filter(F.transform(items, part), lambda x: x.isNotNull()), "\n")
-    return F.when(content.isNull(), "").when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("ARRAY"), F.coalesce(joined, F.lit(""))).otherwise(content)
+    kind = lambda x: F.schema_of_variant(x)
+    member = lambda x, k: F.when(kind(F.try_variant_get(x, f"$.{k}", "variant")) == "STRING", F.try_variant_get(x, f"$.{k}", "string"))
+    part = lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")).when(kind(x).startswith("OBJECT"), F.coalesce(non_empty(member(x, "text")), member(x, "content")))
+    joined = F.array_join(F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), part), lambda x: x.isNotNull()), "\n")
+    return F.when(content.isNull(), "").when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(kind(v).startswith("ARRAY"), F.coalesce(joined, F.lit(""))).otherwise(content)
 
 
 def first_field(*cols: Column) -> Column:

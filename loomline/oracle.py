@@ -250,6 +250,13 @@ def _grams(x: str) -> str:
     return f"list_transform(range(1, len({w}) - 2), lambda i: array_to_string(({w})[i:i + 3], ' '))"
 
 
+_FILES = f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) - 1 AS idx FROM (SELECT DISTINCT id, session_id, role, content, tool_name FROM messages WHERE session_id IS NOT NULL)),
+m AS (SELECT session_id || ':' || (idx // 64) AS session_id, idx, coalesce(role, '') AS role, coalesce(nullif(content, ''), 'x') AS text, coalesce(tool_name, '') AS tool FROM n),
+f AS (SELECT session_id, d, session_id || CASE WHEN d = 0 THEN '.txt' WHEN d < 8 THEN '.jsonl' ELSE '.json' END AS path FROM (SELECT session_id, ('0x' || substring(md5(session_id), 1, 1))::INT AS d FROM (SELECT DISTINCT session_id FROM m)))
+"""
+
+
 def _book() -> str:
     """CTEs `shot` and `code` with the rows of the codebook, and `pass`."""
     with open(CODEBOOK, encoding="utf-8") as f:
@@ -281,6 +288,10 @@ def oracle_sql() -> dict[str, str]:
           SELECT session_id, which, sum(('0x' || substring(d, 1, 15))::HUGEINT)::VARCHAR AS a, sum(('0x' || substring(d, 16, 15))::HUGEINT)::VARCHAR AS b, count(*) AS n FROM (
           SELECT session_id, 'old' AS which, {digest} AS d FROM t UNION ALL SELECT session_id, 'new', {digest} FROM (SELECT * REPLACE (CASE WHEN idx % 97 = 3 THEN text || '!' ELSE text END AS text) FROM t)) GROUP BY ALL))
           SELECT session_id, content_hash FROM h WHERE which = 'new' AND (session_id, content_hash) NOT IN (SELECT (session_id, content_hash) FROM h WHERE which = 'old')""",
+        "transcript_files": f"{_FILES} SELECT path, CASE WHEN d IN (0, 7, 15) THEN 'error' ELSE 'normalized' END AS status, d IN (0, 7, 15) AS told FROM f",
+        "transcript_messages": f"""{_FILES} SELECT m.session_id, (idx % 64)::INT AS idx, coalesce(nullif(role, ''), 'unknown') AS role, CASE WHEN idx % 4 = 0 THEN text ELSE text || chr(10) || 'tail' END AS text, CASE WHEN idx % 4 < 2 THEN nullif(tool, '') END AS tool_name, CASE WHEN idx % 4 = 2 THEN 't' END AS ts
+          FROM m JOIN f USING (session_id) WHERE d NOT IN (0, 7, 15)""",
+        "replaced_sessions": f"SELECT session_id, count(*) AS n FROM ({_T}) WHERE substring(md5(session_id), 1, 1) <> '0' OR idx < 5 GROUP BY 1",
         "token_estimate": f"WITH {_masked(_T, 'turn_id')} SELECT session_id, count(*) AS n_turns, sum(tok)::BIGINT AS tokens, max(tok)::INT AS largest FROM ({_FLAGGED}) GROUP BY session_id",
         "session_windows": f"{_WINDOWS} SELECT session_id, window_index, start_idx, end_idx, n_turns, tokens FROM win",
         "window_ids": window_ids,
@@ -327,6 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "progress_snapshot": f"SELECT family, status, count(*) AS runs, sum(created)::BIGINT AS created, sum(rejected)::BIGINT AS rejected, count(DISTINCT session_id) AS sessions FROM ({_LEDGER}) GROUP BY ALL",
         "errored_runs": f"SELECT event_id::VARCHAR AS window_id, session_id, family FROM ({_LEDGER}) WHERE status = 'error' AND event_id % 8 = 3",
         "work_queue": f"WITH s AS (SELECT DISTINCT session_id FROM turns) SELECT stream, 'pending' AS status, count(*) AS n FROM s, (SELECT unnest({_list(C.STREAMS)}) AS stream) WHERE NOT (stream = 'steering' AND substring(md5(session_id), 1, 1) IN ('0', '1', '2', '3')) GROUP BY stream",
+        "stale_work": f"SELECT CASE WHEN s = 'failed' OR s = 'running' AND ts < TIMESTAMP '2024-01-15 12:00:00' THEN 'pending' ELSE s END AS status, count(*) AS n FROM (SELECT ts, {_pick(('running', 'running', 'failed', 'completed', 'pending'), 'event_id')} AS s FROM events) GROUP BY 1",
         "recall_code_level": _scores(),
         "recall_by_bucket": _scores("bucket"),
         "quote_overlap": f"WITH e AS (SELECT record_id, unnest(from_json(evidence_json, '[{{\"turn_id\":\"VARCHAR\",\"quote\":\"VARCHAR\"}}]')[1:1], recursive := true) FROM cie_records WHERE json_valid(evidence_json)) SELECT record_id, list_has_any({_grams('quote')}, {_grams('text')}) AS overlaps FROM e JOIN ({_T}) t USING (turn_id)",
@@ -344,6 +356,8 @@ def oracle_sql() -> dict[str, str]:
         "topk_findings": "SELECT family, rank, record_id, occurrences FROM (SELECT family, record_id, coalesce(occurrence_count, 1)::BIGINT AS occurrences, row_number() OVER (PARTITION BY family ORDER BY coalesce(occurrence_count, 1) DESC, coalesce(last_seen, created_at) DESC NULLS LAST, statement NULLS FIRST, record_id) AS rank FROM cie_records) WHERE rank <= 10",
         "pilot_counts": " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce({d}, '(none)') AS value, count(*) AS n FROM (SELECT DISTINCT record_id, {d} FROM records) GROUP BY 2" for d in ("stream", "pattern_type", "sensitivity")),
         "pilot_examples": "WITH r AS (SELECT DISTINCT record_id, stream, pattern_type, sensitivity, confidence FROM records), top AS (SELECT stream, pattern_type FROM r GROUP BY ALL ORDER BY count(*) DESC, stream, pattern_type LIMIT 10) SELECT stream, pattern_type, rank, record_id FROM (SELECT *, row_number() OVER (PARTITION BY stream, pattern_type ORDER BY CASE WHEN sensitivity = 'internal' THEN 0 ELSE 1 END, confidence DESC NULLS LAST, record_id) AS rank FROM r) JOIN top USING (stream, pattern_type) WHERE rank <= 20",
+        "shown_quotes": f"""WITH r AS (SELECT record_id, sensitivity, from_json(evidence_json, '[{{"quote":"VARCHAR"}}]')[1].quote AS text FROM (SELECT DISTINCT record_id, sensitivity, evidence_json FROM records) WHERE json_valid(evidence_json)), {_masked("SELECT record_id, text FROM r WHERE text IS NOT NULL", "record_id")}
+          SELECT record_id, CASE WHEN sensitivity = 'internal' THEN substring(coalesce(shown, text), 1, 700) ELSE '[suppressed]' END AS shown FROM r LEFT JOIN masked USING (record_id) WHERE text IS NOT NULL""",
         "usage_cost": f"""WITH u AS (SELECT *, CASE WHEN t0 = 0 THEN p + c ELSE t0 END AS t FROM ({events_usage})), v AS (SELECT *, CASE WHEN t > p + c THEN t - p - c ELSE 0 END AS reason FROM u WHERE p + c + t0 > 0 OR ticks IS NOT NULL),
           w AS (SELECT event_type, model FROM u WHERE NOT (p + c + t0 > 0 OR ticks IS NOT NULL)),
           s AS (SELECT event_type, model, count(*) + (SELECT count(*) FROM w WHERE w.event_type = v.event_type AND w.model = v.model) AS calls, count(ticks) AS priced, sum(p) AS p, sum(c) AS c, sum(reason)::BIGINT AS reasoning, sum(t)::BIGINT AS total, sum(ticks) AS ticks FROM v GROUP BY event_type, model),

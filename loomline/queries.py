@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from loomline import constants as C
 from loomline.functions import usage
-from loomline.functions.text import brief, cut_at_word, strip
+from loomline.functions.text import brief, cut_at_word, non_empty, strip
 from loomline.operators import normalize, prompts, register, reports, scan, scoring, sensitivity, signals, validate, windows
 from loomline.session import cut_lineage, table
+from loomline.sources import transcripts
 
 LIMIT, OVERLAP = 300, 60
 TERMS = (*C.EXCLUDE_TERMS, "nightly cycle", "basalt-switch")
@@ -91,6 +92,43 @@ def content_hash_changes(spark, root):
     return normalize.changed_sessions(normalize.content_hashes(edited), normalize.content_hashes(t))
 
 
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """Transcript files made from blocks of 64 messages, in every form the readers know; some hold a bad line, some have another suffix."""
+    m = _messages(spark, root).select(F.concat_ws(":", "session_id", F.floor(F.col("idx") / 64).cast("string")).alias("session_id"), "idx", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(non_empty(F.col("text")), F.lit("x")).alias("text"), F.coalesce("tool_name", F.lit("")).alias("tool"))
+    tail, i = F.lit("tail"), F.col("idx") % 4
+    line = (
+        F.when(i == 0, F.to_json(F.struct("role", F.col("text").alias("content"), F.col("tool").alias("tool_name"))))
+        .when(i == 1, F.concat(F.lit("{"), F.expr("substring(to_json(struct(role AS actor, tool AS name)), 2, length(to_json(struct(role AS actor, tool AS name))) - 2)"), F.lit(',"content":['), F.to_json(F.struct("text")), F.lit(',"tail"]}')))
+        .when(i == 2, F.to_json(F.struct(F.col("role").alias("type"), F.array("text", tail).alias("content"), F.lit("t").alias("ts"))))
+        .otherwise(F.to_json(F.struct(F.lit("").alias("role"), F.col("role").alias("actor"), F.array(F.struct(F.col("text").alias("content")), F.struct(tail.alias("content"))).alias("content"))))
+    )
+    rows = m.select("session_id", "idx", line.alias("line")).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]).alias("l"))
+    digit = F.conv(F.substring(F.md5("session_id"), 1, 1), 16, 10).cast("int")
+    suffix = F.when(digit == 0, "txt").when(digit < 8, "jsonl").otherwise("json")
+    listed = F.concat(F.lit("["), F.array_join("l", ","), F.lit("]"))
+    content = (
+        F.when(digit == 7, F.concat(F.array_join("l", "\n"), F.lit("\n\n{broken"))).when(digit < 7, F.array_join("l", "\n\n")).when(digit == 8, listed).when(digit == 15, F.lit('{"messages": 5}'))
+        .otherwise(F.concat(F.lit('{"'), _pick(transcripts.LIST_KEYS, digit), F.lit('": '), listed, F.lit("}")))
+    )
+    return rows.select(F.concat("session_id", F.lit("."), suffix).alias("path"), suffix.alias("suffix"), content.alias("content"), F.sha2(content, 256).alias("content_hash"), "session_id")
+
+
+def transcript_files(spark, root):
+    """Status of each transcript file."""
+    return transcripts.sessions_of(transcripts.parsed(_files(spark, root))).select("path", "status", F.col("error_detail").isNotNull().alias("told"))
+
+
+def transcript_messages(spark, root):
+    """Messages of the files without a fault, whatever the names of their fields."""
+    return transcripts.messages_of(cut_lineage(transcripts.parsed(_files(spark, root)))).select("session_id", "idx", "role", "text", "tool_name", "ts")
+
+
+def replaced_sessions(spark, root):
+    """Turns after a sixteenth of the sessions came again with their first turns only."""
+    t = _turns(spark, root).select("turn_id", "session_id", "idx")
+    return normalize.replace_sessions(t, t.where((F.substring(F.md5("session_id"), 1, 1) == "0") & (F.col("idx") < 5))).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
 # --- windows -------------------------------------------------------------------------
 
 
@@ -334,6 +372,14 @@ def work_queue(spark, root):
     return register.enqueued(s, have, "v2").groupBy("stream", "status").agg(F.count("*").alias("n"))
 
 
+def stale_work(spark, root):
+    """Work items by status after stale ones are reset and failed ones are tried again; events stand for items."""
+    status = _pick(("running", "running", "failed", "completed", "pending"), F.col("event_id").cast("int"))
+    q = table(spark, root, "events").select(status.alias("status"), F.col("ts").cast("timestamp").alias("started_at"))
+    now = F.lit("2024-01-15 12:30:00").cast("timestamp")
+    return register.status_counts(register.retry_failed(register.reset_stale(q, now, 30)))
+
+
 # --- scoring --------------------------------------------------------------------------------------------
 
 
@@ -430,6 +476,12 @@ def pilot_examples(spark, root):
     return reports.pilot_examples(_records(spark, root)).select("stream", "pattern_type", "rank", "record_id")
 
 
+def shown_quotes(spark, root):
+    """First quotes of the records as a report shows them."""
+    r = _records(spark, root).select("record_id", "sensitivity", F.try_element_at(F.from_json("evidence_json", validate.EVIDENCE), F.lit(1))["quote"].alias("quote"))
+    return reports.shown_quotes(r.where("quote IS NOT NULL")).select("record_id", "shown")
+
+
 def usage_cost(spark, root):
     """Cost by event type; events stand for calls."""
     i = F.col("event_id")
@@ -439,11 +491,11 @@ def usage_cost(spark, root):
 
 
 QUERIES = (
-    turns_normalized, turn_offsets, actor_turn_counts, skip_rule_counts, exclude_feedback_sessions, newest_n_sessions, content_hash_changes, token_estimate, session_windows, window_ids, window_overlap_turns,
+    turns_normalized, turn_offsets, actor_turn_counts, skip_rule_counts, exclude_feedback_sessions, newest_n_sessions, content_hash_changes, transcript_files, transcript_messages, replaced_sessions, token_estimate, session_windows, window_ids, window_overlap_turns,
     family_routing, no_signal_windows, planned_prompts, resume_remaining, prompt_clip_tier, prompt_examples, pass_cards, sensitivity_level, secret_hit_counts, masked_text, question_signals, correction_signals, tool_failures, methodology_signals,
     methodology_sinks, brief_text, evidence_quote, signal_caps, signal_records, payload_validation, rejection_causes, evidence_rebinding, platform_denylist, dedup_key, dedup_merge, dedup_upsert, occurrence_conservation,
-    window_run_latest, progress_snapshot, errored_runs, work_queue, recall_code_level, recall_by_bucket, recall_quote_strict, quote_overlap, wilson_ci, evidence_integrity, run_mean_sd, transport_stats,
-    outcome_distribution, rework_causes, bucket_sessions, stratified_sample, session_coverage, topk_findings, pilot_counts, pilot_examples, usage_cost,
+    window_run_latest, progress_snapshot, errored_runs, work_queue, stale_work, recall_code_level, recall_by_bucket, recall_quote_strict, quote_overlap, wilson_ci, evidence_integrity, run_mean_sd, transport_stats,
+    outcome_distribution, rework_causes, bucket_sessions, stratified_sample, session_coverage, topk_findings, pilot_counts, pilot_examples, shown_quotes, usage_cost,
 )
 
 
