@@ -232,11 +232,15 @@ def _wilson(h: str, n: str) -> tuple[str, str]:
     return f"CASE WHEN {n} > 0 THEN round(greatest(0.0, ({mid} - {spread}) / {den}), 6) ELSE 0.0 END", f"CASE WHEN {n} > 0 THEN round(least(1.0, ({mid} + {spread}) / {den}), 6) ELSE 0.0 END"
 
 
-def _scores(by: str = "") -> str:
-    g, c, m = "sum(gold)::BIGINT", "sum(cand)::BIGINT", "sum(least(gold, cand))::BIGINT"
+def _scores(by: str = "", strict: bool = False) -> str:
+    g, c, m = "sum(gold)::BIGINT", "sum(cand)::BIGINT", "(SELECT coalesce(sum(n), 0) FROM taken)::BIGINT" if strict else "sum(least(gold, cand))::BIGINT"
     (rl, rh), (al, ah) = _wilson("matched", "gold"), _wilson("matched", "candidates")
     r, a = "CASE WHEN gold > 0 THEN matched::DOUBLE / gold ELSE 0.0 END", "CASE WHEN candidates > 0 THEN matched::DOUBLE / candidates ELSE 0.0 END"
-    return f"""{_KEYED}, gold AS (SELECT session_id, codebook_code AS code, count(*) AS n FROM keyed WHERE extractor_version = 'cie-v1' GROUP BY ALL),
+    # candidates in order, each with the gold records it shares four words with; each takes the first that is left
+    one = lambda v: f"SELECT session_id, codebook_code AS code, row_number() OVER (PARTITION BY session_id, codebook_code ORDER BY record_id)::INT AS k, unnest(list_distinct({_grams('first_quote')})) AS run FROM keyed WHERE extractor_version = '{v}'"
+    taken = f""" gs AS ({one("cie-v1")}), cs AS ({one("cie-v0")}), fit AS (SELECT session_id, code, cs.k AS c, list_sort(list_distinct(list(gs.k))) AS g FROM cs JOIN gs USING (session_id, code, run) GROUP BY ALL),
+taken AS (SELECT session_id, code, len(list_reduce(list(g ORDER BY c), lambda acc, x: list_concat(acc, list_filter(x, lambda i: NOT list_contains(acc, i))[1:1]), []::INT[])) AS n FROM fit GROUP BY ALL),""" if strict else ""
+    return f"""{_KEYED},{taken} gold AS (SELECT session_id, codebook_code AS code, count(*) AS n FROM keyed WHERE extractor_version = 'cie-v1' GROUP BY ALL),
 cand AS (SELECT session_id, codebook_code AS code, count(*) AS n FROM keyed WHERE extractor_version = 'cie-v0' GROUP BY ALL),
 sizes AS (SELECT session_id, CASE WHEN count(*) <= 3 THEN 'short' WHEN count(*) <= 20 THEN 'medium' ELSE 'long' END AS bucket FROM ({_T}) GROUP BY session_id),
 both_ AS (SELECT coalesce(gold.session_id, cand.session_id) AS session_id, coalesce(gold.n, 0) AS gold, coalesce(cand.n, 0) AS cand FROM gold FULL JOIN cand USING (session_id, code)),
@@ -341,6 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "stale_work": f"SELECT CASE WHEN s = 'failed' OR s = 'running' AND ts < TIMESTAMP '2024-01-15 12:00:00' THEN 'pending' ELSE s END AS status, count(*) AS n FROM (SELECT ts, {_pick(('running', 'running', 'failed', 'completed', 'pending'), 'event_id')} AS s FROM events) GROUP BY 1",
         "recall_code_level": _scores(),
         "recall_by_bucket": _scores("bucket"),
+        "recall_quote_strict": _scores(strict=True),
         "quote_overlap": f"WITH e AS (SELECT record_id, unnest(from_json(evidence_json, '[{{\"turn_id\":\"VARCHAR\",\"quote\":\"VARCHAR\"}}]')[1:1], recursive := true) FROM cie_records WHERE json_valid(evidence_json)) SELECT record_id, list_has_any({_grams('quote')}, {_grams('text')}) AS overlaps FROM e JOIN ({_T}) t USING (turn_id)",
         "wilson_ci": f"SELECT event_type, hits, total, {lo} AS low, {hi} AS high FROM (SELECT event_type, count(*) AS total, count(*) FILTER (event_id % 5 = 0) AS hits FROM events GROUP BY 1)",
         "evidence_integrity": f"SELECT problem, count(*) AS n FROM (SELECT CASE WHEN t.turn_id IS NULL THEN 'missing_turn' WHEN NOT coalesce(contains(text, quote), false) THEN 'quote_not_in_turn' END AS problem FROM (SELECT record_id, CASE WHEN md5(record_id)[1] = '0' THEN turn_id || 'x' ELSE turn_id END AS turn_id, CASE WHEN md5(record_id)[1] = '1' THEN quote || ' (sic)' ELSE quote END AS quote FROM ({evidence} FROM (SELECT DISTINCT record_id, evidence_json FROM records))) e LEFT JOIN ({_T}) t ON t.turn_id = e.turn_id) WHERE problem IS NOT NULL GROUP BY 1",

@@ -3,8 +3,7 @@
 Tables hold re-delivered rows, so each query first takes every row once. Where the
 tables have no counterpart (model payloads, provider usage, ledgers), columns are
 derived from them by arithmetic that Spark and SQL write alike; such inputs are
-scaffolding and say nothing about the data. `recall_quote_strict` has no SQL (an
-order-dependent fold) and is tested against plain Python.
+scaffolding and say nothing about the data.
 """
 
 from __future__ import annotations
