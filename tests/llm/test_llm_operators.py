@@ -237,7 +237,7 @@ def test_ambiguous_and_empty_messages(spark):
 
 def test_instants(spark):
     values = ["2025-03-01 10:00:00", "2025-03-01T10:00:00Z", "20250301T100000Z", "1740823200", "1740823200000", "2025-03-01 05:00:00-05:00", "2025-03-01T15:30:00+05:30", "2025-13-01 00:00:00", "1999-01-01 00:00:00", "never", "", None, " 2025-03-01 10:00:00 ", "2025-02-30 10:00:00"]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", fusion.instant(F.col("v")).alias("us"))
+    df = fusion.with_instants(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string"), us="v")
     got = [r.us for r in df.orderBy("i").collect()]
     assert got[:7] == [1740823200 * 10**6] * 7 and got[7:12] == [None] * 5 and got[12] == got[0] and got[13] is None
 
