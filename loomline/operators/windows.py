@@ -95,7 +95,7 @@ def windows(turns: DataFrame, limit: int = C.MAX_WINDOW_TOKENS, overlap: int = C
     placed = turns.select("session_id", F.col("idx").cast("long").alias("idx"), F.col("tokens").cast("int").alias("tokens"), F.col("flags").cast("int").alias("flags")).join(running_total(ids, "session_id", "idx", "_one", "pos"), ["session_id", "idx"])
     own = F.floor(F.col("pos") / size)
     blocks = F.when((F.col("pos") % size <= limit) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    rows = cut_lineage(placed.select("session_id", F.explode(blocks).alias("block"), "pos", "idx", "tokens", "flags"))
+    rows = placed.select("session_id", F.explode(blocks).alias("block"), "pos", "idx", "tokens", "flags")
 
     def cut(it, entered: bool):
         """Windows of block 0, and tables of the others; with `entered`, windows of blocks whose rows carry their entry and first window."""
@@ -124,11 +124,13 @@ def windows(turns: DataFrame, limit: int = C.MAX_WINDOW_TOKENS, overlap: int = C
 
     first = cut_lineage(rows.repartition("session_id", "block").sortWithinPartitions("session_id", "block", "pos").select("session_id", "block", "idx", "tokens", "flags").mapInArrow(lambda it: cut(it, False), _SCAN))
     ways = first.where("entry IS NOT NULL").select("session_id", "block", "entry", "exit", "n_windows")
+    columns = ("session_id", F.col("window_index").cast("int").alias("window_index"), "start_idx", "end_idx", "n_turns", "tokens", "flags")
+    if ways.isEmpty():  # no session has a second block
+        return first.select(*columns)
     entries = ways.repartition("session_id").sortWithinPartitions("session_id", "block", "entry").mapInArrow(_follow, "session_id string, block long, entry int, k long")
     later = rows.where("block > 0").join(entries, ["session_id", "block"]).repartition("session_id", "block").sortWithinPartitions("session_id", "block", "pos")
     rest = later.select("session_id", "block", "idx", "tokens", "flags", "entry", "k").mapInArrow(lambda it: cut(it, True), _SCAN)
-    out = first.where("start_idx IS NOT NULL").unionByName(rest)
-    return out.select("session_id", F.col("window_index").cast("int").alias("window_index"), "start_idx", "end_idx", "n_turns", "tokens", "flags")
+    return first.where("start_idx IS NOT NULL").unionByName(rest).select(*columns)
 
 
 def _blocks(it):
