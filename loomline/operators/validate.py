@@ -83,11 +83,13 @@ def resolved_evidence(candidates: DataFrame, surface: DataFrame) -> DataFrame:
     the window, whose turns its token budget bounds.
     """
     items = candidates.where("shape IS NULL").select("window_id", "family", "position", F.posexplode("evidence").alias("item", "e")).select("window_id", "family", "position", "item", F.col("e.turn_id").alias("cited_turn_id"), F.col("e.quote").alias("quote"))
-    hits = items.where("quote <> ''").join(surface, "window_id").where(F.expr("instr(shown, quote) > 0"))
+    # one shuffle of either side, by the window: what follows is grouped within it
+    told = surface.select(F.col("window_id").alias("_window"), F.col("turn_id").alias("_turn"), F.col("idx").alias("_idx"), F.col("actor").alias("_actor"), "shown")
+    met = items.join(told, F.expr("window_id = _window AND quote <> '' AND instr(shown, quote) > 0"), "left")
+    hit = F.struct((F.col("_turn") != F.coalesce("cited_turn_id", F.lit(""))).alias("other"), F.col("_idx").alias("idx"), F.col("_turn").alias("turn_id"), F.col("_actor").alias("actor"))
     key = ["window_id", "family", "position", "item"]
-    best = F.min(F.struct((F.col("turn_id") != F.coalesce("cited_turn_id", F.lit(""))).alias("other"), "idx", "turn_id", "actor"))
-    found = hits.groupBy(*key).agg(best.alias("b"), F.count("*").alias("match_count"))
-    return items.join(found, key, "left").select(*key, F.col("b.turn_id").alias("turn_id"), "quote", "cited_turn_id", F.col("b.actor").alias("actor"), F.coalesce("match_count", F.lit(0)).alias("match_count"), F.coalesce("b.other", F.lit(False)).alias("rebound"))
+    found = met.groupBy(*key, "quote", "cited_turn_id").agg(F.min(F.when(F.col("_turn").isNotNull(), hit)).alias("b"), F.count("_turn").alias("match_count"))
+    return found.select(*key, F.col("b.turn_id").alias("turn_id"), "quote", "cited_turn_id", F.col("b.actor").alias("actor"), "match_count", F.coalesce("b.other", F.lit(False)).alias("rebound"))
 
 
 def reason(

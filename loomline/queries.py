@@ -296,15 +296,23 @@ def rejection_causes(spark, root):
 
 
 def evidence_rebinding(spark, root):
-    """Quotes of the records table, whole, that cite the turn after theirs, resolved among the turns of the window of theirs."""
-    t = _flagged(spark, root)
-    m = windows.members(_windows(spark, root).drop("tokens", "flags"), t.select("session_id", "idx", "turn_id", "actor", F.coalesce("text", F.lit("")).alias("shown")))
-    surface = cut_lineage(m.select(windows.window_id().alias("window_id"), "turn_id", "idx", "actor", "shown"))
+    """Quotes of the records table, whole, that cite the turn after theirs, resolved among the turns of the window of theirs.
+
+    Windows, their turns and the home of each quote are found on ids and numbers; texts join them for homes alone.
+    """
+    turns = table(spark, root, "turns")
+    shown = F.coalesce(sensitivity.masked(F.col("text"))["text"], F.lit(""))
+    sized = cut_lineage(turns.withColumn("shown", shown).select("turn_id", "session_id", "idx", "actor", windows.token_estimate(F.col("shown")).alias("tokens")).dropDuplicates(["turn_id"]))
+    w = windows.windows(sized.select("session_id", "idx", "tokens", F.lit(0).alias("flags")), LIMIT, OVERLAP)  # the families aren't asked for
+    m = windows.members(w.drop("tokens", "flags"), sized.drop("tokens"))
+    places = cut_lineage(m.select(windows.window_id().alias("window_id"), "turn_id", "idx", "actor"))
     e = _records(spark, root).select("record_id", F.posexplode(F.from_json("evidence_json", validate.EVIDENCE)).alias("item", "e")).select("record_id", "item", "e.turn_id", "e.quote")
-    of = surface.groupBy("turn_id").agg(F.min("window_id").alias("window_id"))
+    of = places.groupBy("turn_id").agg(F.min("window_id").alias("window_id"))
     shifted = F.concat(F.regexp_extract("turn_id", r"^(.*:)\d+$", 1), (F.regexp_extract("turn_id", r":(\d+)$", 1).cast("int") + 1).cast("string"))
-    cand = e.join(of, "turn_id").select("window_id", F.col("record_id").alias("family"), F.col("item").alias("position"), F.lit(None).cast("string").alias("shape"), F.array(F.struct(shifted.alias("turn_id"), "quote")).alias("evidence"))
-    got = validate.resolved_evidence(cand, surface)
+    cand = cut_lineage(e.join(of, "turn_id").select("window_id", F.col("record_id").alias("family"), F.col("item").alias("position"), F.lit(None).cast("string").alias("shape"), F.array(F.struct(shifted.alias("turn_id"), "quote")).alias("evidence")))
+    texts = turns.select("turn_id", F.coalesce("text", F.lit("")).alias("shown")).dropDuplicates(["turn_id"])
+    homes = cut_lineage(places.join(cand.select("window_id"), "window_id", "left_semi"))
+    got = validate.resolved_evidence(cand, homes.join(texts, "turn_id"))
     return got.select("window_id", F.col("family").alias("record_id"), F.col("position").alias("item"), "turn_id", "match_count", "rebound")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from loomline.functions import usage
 from loomline.functions.text import brief, cut_at_word, strip
 from loomline.operators import normalize, prompts, register, reports, scan, scoring, sensitivity, signals, validate, windows
 from loomline.plans import benchmark, cycle, extract, model
+from loomline.session import cut_lineage
 from loomline.sources import transcripts
 from loomline.sources.store import TableStore
 from loomline.streaming import ingest
@@ -44,6 +46,19 @@ def test_cut_and_strip(spark):
 # --- scans --------------------------------------------------------------------------
 
 
+def test_intermediate_tables_leave_no_shuffle_files(spark):
+    def blocks():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return sum(every.apply(i).isShuffle() for i in range(every.size()))
+
+    before = blocks()
+    got = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):  # they are removed by another thread
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and got.count() == 7
+
 def test_running_total_splits_hot_keys(spark):
     r = random.Random(1)
     rows = [("hot" if r.random() < 0.5 else f"k{r.randint(0, 20)}", i, r.randint(0, 9), "extra") for i in range(3000)]
@@ -54,6 +69,16 @@ def test_running_total_splits_hot_keys(spark):
         sums[k] = sums.get(k, 0) + v
 
 
+def test_running_total_where_a_key_ends_inside_a_later_task(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart, as large ones do
+    try:
+        rows = [(k, i, 1) for k, n in (("a", 500), ("hot", 3000), ("k", 30), ("z", 500)) for i in range(n)]
+        got = one(scan.running_total(spark.createDataFrame(rows, "k string, i long, v int").repartition(5), "k", "i", "v", "before"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == [(k, i, i) for k, i, _ in rows]
+
+
 def test_running_total_empty(spark):
     assert one(scan.running_total(spark.createDataFrame([], "k string, i long, v int"), "k", "i", "v", "b")) == []
 
