@@ -232,6 +232,27 @@ def test_ambiguous_and_empty_messages(spark):
     assert conversations.verdicts(spark.createDataFrame([], schema)).count() == 0 and conversations.conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_deliveries_that_differ_drop_a_session_whatever_its_other_messages(spark):
+    schema = "id long, session_id string, role string, content string, tool_name string, timestamp double"
+    rows = []
+    for k in range(12):  # what is delivered in the place of the first message is the second one's content, or not
+        s, x, y = f"s{k:02}", ("user", f"x{k}", None, 1.0), ("agent", f"y{k}", None, 2.0)
+        rows += [(1, s, *x), (2, s, *y), (1, s, *(y if k < 6 else x))]
+    got = {r.session_id: r.reason for r in conversations.verdicts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {f"s{k:02}": "ambiguous overlap" if k < 6 else None for k in range(12)}
+
+
+def test_conversation_that_ends_inside_a_later_task(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart, as large ones do
+    try:
+        rows = [(i, s, ("user", "agent")[i % 2], f"{s}{i}", None, None if i % 7 == 3 else 1.7e9 + i) for s, n in (("a", 500), ("hot", 3000), ("k", 30), ("z", 500)) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, session_id string, role string, content string, tool_name string, timestamp double").repartition(5)
+        got = [tuple(r) for r in conversations.conversations(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == [(s, i, ("user", "assistant")[i % 2], x) for i, s, _, x, *_ in sorted(rows, key=lambda r: (r[1], r[0]))]
+
+
 # --- 5: fusion -----------------------------------------------------------------------------------
 
 

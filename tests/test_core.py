@@ -59,6 +59,7 @@ def test_intermediate_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert blocks() <= before and got.count() == 7
 
+
 def test_running_total_splits_hot_keys(spark):
     r = random.Random(1)
     rows = [("hot" if r.random() < 0.5 else f"k{r.randint(0, 20)}", i, r.randint(0, 9), "extra") for i in range(3000)]
