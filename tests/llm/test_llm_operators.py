@@ -364,6 +364,29 @@ def test_votes_overturn_a_weak_preference_only(spark):
     assert basis(None) == {"x09"} and basis(1e-9) == {"x00"} and basis(1.0) == {"x09"}
 
 
+def test_no_votes_where_they_cannot_count(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "estimate", lambda *a, **k: pytest.fail("votes can't change these winners"))
+    r = random.Random(8)
+    rows = [
+        {"record_id": f"r{i:03}", "statement": f"Finding {i % 50}", "source_reliability": r.choice(["A", " b", "?", None]), "extractor_version": f"v{i % 3}", "confidence_basis": r.choice(["n/a", None, "seen", "heard"]),
+         "last_seen": r.choice(["never", "2025-05-01 00:00:00", "2025-05-02 00:00:00"]), "created_at": r.choice(["", "2025-01-01 00:00:00", "2025-01-02 00:00:00"])} for i in range(200)
+    ]
+    keys = formatting_dups.keyed(fusion.prepared(cie(spark, rows)), F.lit("cie_records"), "record_id", "statement", *fusion.PREFERRED)
+    got = {(x.group_id, x.field_name): x.record_id for x in fusion.field_winners(formatting_dups.grouped(keys).drop("src")).collect()}
+    want = {}
+    for g in range(50):
+        own = [rows[i] for i in range(g, 200, 50)]
+        age = lambda x: {"never": 3, "2025-05-01 00:00:00": 2}.get(x["last_seen"], 1)
+        rank = lambda x: {"A": 0, " b": 1}.get(x["source_reliability"], 6)
+        for f, ok, key in (
+            ("statement", lambda x: True, lambda x: (rank(x), age(x))), ("confidence_basis", lambda x: x["confidence_basis"] in ("seen", "heard"), age),
+            ("last_seen", lambda x: age(x) < 3, age), ("created_at", lambda x: x["created_at"] != "", lambda x: x["created_at"]),
+        ):
+            if some := [x for x in own if ok(x)]:
+                want[own[0]["record_id"], f] = min(some, key=lambda x: (key(x), x["record_id"]))["record_id"]
+    assert got == want
+
+
 def test_rare_sources_are_pooled(spark):
     rows = spark.createDataFrame([(f"e{i % 7}", i % 3) for i in range(70)], "ev string, rank int")
     src = fusion.sources_of(rows, most=4)
